@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathework.llm import truncation
+from lathework.llm import secrets, truncation
 from lathework.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.cut_shares(table(spark, sf, "attempts"), table(spark, sf, "solvers"))
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.credential_lines(table(spark, sf, "materialized_items"), table(spark, sf, "attempts"))
+
+
+@query
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.redacted(secrets.long_form(table(spark, sf, "materialized_items"), table(spark, sf, "attempts")))
