@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathework.plans import views
+from lathework.operators import nested
 from lathework.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,3 +16,45 @@ SQL: dict[str, str] = {}
 def query(f: Callable[[SparkSession, str], DataFrame]):
     QUERIES[f.__name__] = f
     return f
+
+
+# --- nested records as flat tables -------------------------------------------------------
+
+
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    runs = nested.occurrences(table(spark, sf, "attempts"), "attempt_id", ["usage", "metadata"])
+    return runs.unionByName(nested.occurrences(table(spark, sf, "task_features"), "instance_id", ["features"]))
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.array_objects(_nested(spark, sf))
+
+
+@query
+def p3_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.bridge(_nested(spark, sf))
+
+
+@query
+def p3_objects(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.objects(_nested(spark, sf))
+
+
+KINDS = {
+    "models": {"name": "string"},
+    "tiers": {"upto": "bigint", "usd": "double"},
+    "turns": {"no": "bigint", "role": "string"},
+    "calls": {"tool": "string", "ms": "bigint"},
+    "edits": {"path": "string", "added": "bigint", "removed": "bigint"},
+    "retries": {"at": "string", "why": "string"},
+    "signals": {"kind": "string", "weight": "double"},
+    "spans": {"start": "bigint", "end": "bigint"},
+}
+
+
+def _kind(kind: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: nested.of_kind(_nested(spark, sf), kind, columns)
+
+
+QUERIES |= {f"p3_{kind}": _kind(kind, columns) for kind, columns in KINDS.items()}
