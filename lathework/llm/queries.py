@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lathework.llm import secrets, truncation
-from lathework.runtime import table
+from lathework.llm import digests, mixing, nonsource, packing, secrets, splits, truncation
+from lathework.runtime import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +37,88 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.redacted(secrets.long_form(table(spark, sf, "materialized_items"), table(spark, sf, "attempts")))
+
+
+# --- percentiles -------------------------------------------------------------------------
+
+METRICS = ["duration_ms", "cost_usd", "total_tokens"]
+
+
+def _attempt_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """One row an attempt; an attempt that never ended has no duration yet."""
+    raw = table(spark, sf, "telemetry").select(
+        "attempt_id", "solver_id", "provider", F.to_date("started_at").alias("day"), "ingested_at",
+        F.when(F.col("ended_at").isNotNull(), F.col("duration_ms")).cast("double").alias("duration_ms"),
+        F.col("cost_usd").cast("double").alias("cost_usd"), F.col("total_tokens").cast("double").alias("total_tokens"),
+    )
+    return digests.latest(raw, "attempt_id", "ingested_at", ["solver_id", "provider", "day", *METRICS])
+
+
+@query
+def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Per solver, provider and day, and (day null) of the whole period merged from the days."""
+    data = settle(_attempt_metrics(spark, sf))
+    keys = ["solver_id", "provider"]
+    days = settle(digests.digests(data, [*keys, "day"], METRICS))
+    by_day = digests.certify(data, digests.quantiles(days, [*keys, "day"]), [*keys, "day"], METRICS)
+    period = digests.certify(data, digests.quantiles(digests.merge(days, keys), keys), keys, METRICS)
+    both = by_day.unionByName(period.withColumn("day", F.lit(None).cast("date")))
+    return both.withColumn("rank_bound", digests.rank_bound())
+
+
+@query
+def p2_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return digests.digests(_attempt_metrics(spark, sf), ["solver_id", "provider", "day"], METRICS)
+
+
+# --- splits ------------------------------------------------------------------------------
+
+TIES = [["instance_id"], ["solver_id", "task_cluster"]]
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = splits.groups(table(spark, sf, "router_rows"), "row_id", TIES)
+    return found.filter("row_id <> group_id").select("group_id", "row_id")
+
+
+@query
+def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
+    found = settle(splits.groups(table(spark, sf, "router_rows"), "row_id", TIES))
+    return splits.assign_splits(found, table(spark, sf, "split_targets"))
+
+
+# --- files that are no hand-written source -----------------------------------------------
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nonsource.file_kinds(table(spark, sf, "file_roles"))
+
+
+@query
+def p7_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return nonsource.composition(table(spark, sf, "file_roles"))
+
+
+# --- containers and mixtures -------------------------------------------------------------
+
+
+@query
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.containers_of(table(spark, sf, "documents"), table(spark, sf, "containers"))
+
+
+@query
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf), table(spark, sf, "containers"))
+
+
+@query
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.drawn(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+@query
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.drawn(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
