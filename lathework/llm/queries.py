@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import digests, mixing, nonsource, packing, secrets, splits, truncation
+from lathework.llm import digests, mixing, nonsource, packing, secrets, splits, subjects, truncation
 from lathework.runtime import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,20 @@ def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.drawn(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+# --- subject areas -----------------------------------------------------------------------
+
+
+def _areas(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, sf, "documents"), table(spark, sf, "subject_labels"), table(spark, sf, "subjects"))
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _areas(spark, sf).select("doc_id", "subject")
+
+
+@query
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.composition(settle(_areas(spark, sf)), table(spark, sf, "documents"))
