@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm import digests, mixing, nonsource, packing, secrets, splits, subjects, truncation
+from lathework.llm import digests, mixing, nonsource, packing, pairs, secrets, splits, subjects, truncation
 from lathework.runtime import settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,22 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.composition(settle(_areas(spark, sf)), table(spark, sf, "documents"))
+
+
+# --- broken pairs ------------------------------------------------------------------------
+
+
+def _defects(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defects(table(spark, sf, "attempts"), table(spark, sf, "solvers"), table(spark, sf, "materialized_items"))
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _defects(spark, sf)
+
+
+@query
+def p5_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every attempt with its defect, or ``none``."""
+    attempts = table(spark, sf, "attempts").select("attempt_id").dropna().distinct()
+    return attempts.join(_defects(spark, sf), "attempt_id", "left").select("attempt_id", F.coalesce("defect", F.lit("none")).alias("defect"))
