@@ -40,6 +40,7 @@ WEAK = 0.4
 SHARE = 0.2
 CLEAR = 0.1
 CHUNK = 256
+SLICE = 256  # documents multiplied at once, to bound a task's memory
 
 _WORD = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[.!?]\))\s+|\n+")
@@ -91,8 +92,14 @@ def matrix(ids: list[np.ndarray], counts: list[np.ndarray], term_weights: np.nda
     return m._replace(weights=w / np.repeat(np.where(norm == 0, 1, norm), sizes)), norm
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), SLICE):
+            yield pdf.iloc[at : at + SLICE].reset_index(drop=True)
+
+
 def row_sums(m: Matrix, values: np.ndarray) -> np.ndarray:
-    out = np.zeros((m.rows, values.shape[1]))
+    out = np.zeros((m.rows, values.shape[1]), dtype=values.dtype)
     ends = np.r_[m.starts[1:], len(m.ids)]
     full = ends > m.starts
     if m.rows and full.any():
@@ -101,18 +108,17 @@ def row_sums(m: Matrix, values: np.ndarray) -> np.ndarray:
 
 
 def times(m: Matrix, q: np.ndarray) -> np.ndarray:
-    return row_sums(m, q[m.ids] * m.weights[:, None])
+    return row_sums(m, q[m.ids] * m.weights[:, None].astype(q.dtype))
 
 
-def transposed(m: Matrix, y: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((size, y.shape[1]))
+def add_transposed(out: np.ndarray, m: Matrix, y: np.ndarray) -> None:
+    """Add the transpose of ``m`` times ``y`` to ``out``."""
     if len(m.ids):
         row = np.repeat(np.arange(m.rows), np.diff(np.r_[m.starts, len(m.ids)]))
         order = np.argsort(m.ids, kind="stable")
         sorted_ids = m.ids[order]
         heads = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-        out[sorted_ids[heads]] = np.add.reduceat(y[row[order]] * m.weights[order][:, None], heads, axis=0)
-    return out
+        out[sorted_ids[heads]] += np.add.reduceat(y[row[order]] * m.weights[order][:, None], heads, axis=0)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -209,12 +215,12 @@ def fit(rows: DataFrame, labels: DataFrame, words: list[tuple[str, int]], n_docu
 
         def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w, q = given.value
-            total = np.zeros((size, rank))
-            for pdf in batches:
+            total = np.zeros((size, rank), dtype=np.float32)
+            for pdf in slices(batches):
                 m, _ = matrix(pdf["ids"].tolist(), pdf["counts"].tolist(), w)
-                total += transposed(m, times(m, q), size)
+                add_transposed(total, m, times(m, q))
             for at in range(0, size, CHUNK):
-                yield pd.DataFrame({"chunk": [at // CHUNK], "v": [total[at : at + CHUNK].tobytes()]})
+                yield pd.DataFrame({"chunk": [at // CHUNK], "v": [total[at : at + CHUNK].astype(np.float64).tobytes()]})
 
         parts = _added(rows.select("ids", "counts").mapInPandas(multiply, "chunk int, v binary"), "chunk")
         if not parts:
@@ -247,7 +253,7 @@ def fit(rows: DataFrame, labels: DataFrame, words: list[tuple[str, int]], n_docu
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w, q, c, owner = now.value
-            for pdf in batches:
+            for pdf in slices(batches):
                 at = _places(pdf, w, q)
                 sim = at @ c.T
                 best = sim.argmax(1)
@@ -285,9 +291,7 @@ def assigned(rows: DataFrame, model: Model) -> DataFrame:
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = given.value
         n = len(m.subjects)
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in slices(batches):
             said, heavy = _spoken(pdf, m.weights)
             by = best_of(unit(times(said, m.axes)) @ m.centroids.T, m.of, n)
             ranked = np.sort(by, axis=1)
