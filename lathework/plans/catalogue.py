@@ -572,7 +572,7 @@ def burn_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def budget_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Jobs whose running value passes a limit, with the total kept as state."""
-    return jobs.replay(spark, sf, "events.parquet", lambda df: jobs.over_budget(df, 5_000.0), "budget_stream", mode="append")
+    return jobs.replay(spark, sf, "events.parquet", lambda df: jobs.over_budget(df, 1_000.0), "budget_stream", mode="append")
 
 
 # --- nested records as flat tables -------------------------------------------------------
