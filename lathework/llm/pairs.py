@@ -321,10 +321,10 @@ def defects(attempts: DataFrame, solvers: DataFrame, items: DataFrame) -> DataFr
     pairs = stow(responses(attempts, solvers, items), "pairs")
     sample = sound_sample(pairs)
     model = train(sample) if sample else None
-    given = pairs.sparkSession.sparkContext.broadcast(model)  # one weight vector a label
+    given = pairs.sparkSession.sparkContext.broadcast(tuple(model) if model else None)  # one weight vector a label; a plain tuple, so executors need not have the class
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = given.value
+        m = Classifier(*given.value) if given.value else None
         for pdf in batches:
             found = []
             for attempt, answer, note, diff, statement in zip(pdf["attempt_id"], pdf["answer"], pdf["note"], pdf["has_diff"], pdf["statement"]):

@@ -283,13 +283,13 @@ def _spoken(pdf: pd.DataFrame, weights: np.ndarray) -> tuple[Matrix, np.ndarray]
 
 def assigned(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, subject, voice): one row a subject of a document, with its share of the document's voices."""
-    given = rows.sparkSession.sparkContext.broadcast(model)
+    given = rows.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple: executors need not have the class
 
     def best_of(sim: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         return np.stack([sim[:, of == s].max(1) if (of == s).any() else np.full(len(sim), -1.0) for s in range(n)], axis=1)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = given.value
+        m = Model(*given.value)
         n = len(m.subjects)
         for pdf in slices(batches):
             said, heavy = _spoken(pdf, m.weights)
