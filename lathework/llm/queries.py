@@ -82,6 +82,14 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.filter("row_id <> group_id").select("group_id", "row_id")
 
 
+SQL["p6_found"] = r"""
+ with recursive k as (select distinct row_id, nullif(lower(regexp_replace(coalesce(instance_id, ''), '^\s+|\s+$', '', 'g')), '') as i, nullif(lower(regexp_replace(coalesce(solver_id, ''), '^\s+|\s+$', '', 'g')), '') as s,
+   nullif(lower(regexp_replace(coalesce(task_cluster, ''), '^\s+|\s+$', '', 'g')), '') as c from router_rows where row_id is not null),
+ e as (select a.row_id as x, b.row_id as y from k a join k b on a.i = b.i union select a.row_id, b.row_id from k a join k b on a.s = b.s and a.c = b.c),
+ r as (select row_id as x, row_id as y from k union select r.x, e.y from r join e on r.y = e.x)
+ select min(y) as group_id, x as row_id from r group by x having min(y) <> x"""
+
+
 @query
 def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
     found = settle(splits.groups(table(spark, sf, "router_rows"), "row_id", TIES))
