@@ -583,6 +583,19 @@ def _nested(spark: SparkSession, sf: str) -> DataFrame:
     return runs.unionByName(nested.occurrences(table(spark, sf, "task_features"), "instance_id", ["features"]))
 
 
+_PATHS = r"""
+ with recursive src as (select attempt_id as owner_id, 'usage' as field_name, usage as t from attempts union select attempt_id, 'metadata', metadata from attempts union select instance_id, 'features', features from task_features),
+ roots as (select owner_id, field_name, try_cast(t as json) as j from src where t is not null),
+ n as (
+  select owner_id, field_name, '' as path, case when json_type(j) = 'VARCHAR' then try_cast(j ->> '$' as json) else j end as j, false as in_array from roots where j is not null
+  union all
+  select owner_id, field_name, path || kid.at as path, kid.j as j, kid.el as in_array from (select owner_id, field_name, path, unnest(case when json_type(j) = 'OBJECT' then
+    list_transform(json_keys(j), lambda k: {'at': case when path = '' then k else '.' || k end, 'el': false, 'j': case when list_contains(LISTED, k) then (case when json_type(j -> k) = 'VARCHAR' then (case when json_type(try_cast(j ->> k as json)) = 'OBJECT' then json_array(try_cast(j ->> k as json)) else coalesce(try_cast(j ->> k as json), j -> k) end) when json_type(j -> k) = 'OBJECT' then json_array(j -> k) else j -> k end) else j -> k end})
+   when json_type(j) = 'ARRAY' then list_transform(range(cast(json_array_length(j) as bigint)), lambda i: {'at': '[' || i || ']', 'el': true, 'j': json_extract(j, cast(i as bigint))}) else [] end) as kid from n where json_type(j) in ('OBJECT', 'ARRAY')))
+ select distinct owner_id, field_name, path as node_path from n where in_array and json_type(j) = 'OBJECT'"""
+SQL["p3_found"] = _PATHS.replace("LISTED", str(list(nested.LIST_KEYS)))
+
+
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.array_objects(_nested(spark, sf))
