@@ -54,6 +54,7 @@ def model_name(c: Column | str) -> Column:
     return F.element_at(F.split(F.replace(F.lower(text(c)), F.lit("_"), F.lit("-")), "/"), -1)
 
 
+# The address and keyword patterns of references below.
 def pull_refs(c: Column | str) -> Column:
     """Distinct numbers of pull requests, in the order of: addresses, merge notes, keywords."""
     s = text(c)

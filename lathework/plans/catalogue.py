@@ -31,8 +31,12 @@ def query(f: Callable[[SparkSession, str], DataFrame] | None = None, *, sql: str
     return add(f) if f else add
 
 
-def joined(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.with_verdicts(views.attempts(spark, sf), views.verdicts(spark, sf))
+#: What the grouped metrics read of an attempt.
+COUNTED = ("instance_id", "solver_id", "duration_ms", "cost_micros", "input_tokens", "output_tokens", "total_tokens")
+
+
+def joined(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return joins.with_verdicts(views.attempts(spark, sf, *columns), views.verdicts(spark, sf))
 
 
 # --- grouped metrics ---------------------------------------------------------------------
@@ -67,12 +71,12 @@ def _summary_sql(dims: str) -> str:
 
 @query
 def group_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.group_summary(joined(spark, sf))
+    return metrics.group_summary(joined(spark, sf, *COUNTED))
 
 
 @query
 def group_summary_by_provider(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.group_summary(joined(spark, sf), ("provider", "usage_source"))
+    return metrics.group_summary(joined(spark, sf, *COUNTED, "provider", "usage_source"), ("provider", "usage_source"))
 
 
 SQL["group_summary"] = _summary_sql("solver_id")
@@ -87,7 +91,7 @@ SQL["group_summary_by_provider"] = _summary_sql("provider, usage_source")
   cast(sum(duration) as bigint) / cast(sum(attempts) as bigint) as average_duration_ms,
   count(instance_id) - count(*) filter (resolved and instance_id is not null) as unresolved_instances from per""")
 def top_line(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.top_line(joined(spark, sf))
+    return metrics.top_line(joined(spark, sf, *COUNTED))
 
 
 _PERCENTILES = """
@@ -97,7 +101,7 @@ _PERCENTILES = """
 
 @query(needs=("v_attempts",), sql=_PERCENTILES)
 def duration_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.percentiles(views.attempts(spark, sf), ["solver_id"], "duration_ms", {"p50": 50.0, "p95": 95.0})
+    return metrics.percentiles(views.attempts(spark, sf, "solver_id", "duration_ms"), ["solver_id"], "duration_ms", {"p50": 50.0, "p95": 95.0})
 
 
 @query(needs=("v_joined",), sql="""
@@ -106,7 +110,7 @@ def duration_percentiles(spark: SparkSession, sf: str) -> DataFrame:
   from (select raw, lower(raw) as low from (select coalesce(failure_reason, harness_outcome) as raw from v_joined where not resolved)))
  select reason, count(*) as n, count(*) / sum(count(*)) over () as share from l group by reason""")
 def failure_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    lost = joined(spark, sf).filter("not resolved").select(text.failure_label(F.coalesce("failure_reason", "harness_outcome")).alias("reason"))
+    lost = joined(spark, sf, "instance_id", "solver_id").filter("not resolved").select(text.failure_label(F.coalesce("failure_reason", "harness_outcome")).alias("reason"))
     return metrics.shares(lost, "reason")
 
 
@@ -114,7 +118,7 @@ def failure_breakdown(spark: SparkSession, sf: str) -> DataFrame:
  select attempt_id, solver_id, instance_id, cost_micros, duration_ms from v_joined where not resolved
  order by coalesce(cost_micros, 0) desc, coalesce(duration_ms, 0) desc, solver_id, instance_id, attempt_id limit 10""")
 def unresolved_top10(spark: SparkSession, sf: str) -> DataFrame:
-    rows = joined(spark, sf).filter("not resolved").select("attempt_id", "solver_id", "instance_id", "cost_micros", "duration_ms")
+    rows = joined(spark, sf, "instance_id", "solver_id", "cost_micros", "duration_ms").filter("not resolved").select("attempt_id", "solver_id", "instance_id", "cost_micros", "duration_ms")
     return rows.orderBy(F.desc(F.coalesce("cost_micros", F.lit(0))), F.desc(F.coalesce("duration_ms", F.lit(0))), "solver_id", "instance_id", "attempt_id").limit(10)
 
 
@@ -124,14 +128,14 @@ def unresolved_top10(spark: SparkSession, sf: str) -> DataFrame:
  select solver_id, count(*) as n_instances, cast(sum(own) as bigint) / 1000000 as spend_usd, cast(sum(least) as bigint) / 1000000 as floor_usd,
   greatest(cast(sum(own) - sum(least) as bigint), 0) / 1000000 as avoidable_usd from own join floor_ using (instance_id) group by solver_id""")
 def avoidable_spend(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.avoidable_spend(metrics.offers(joined(spark, sf)))
+    return metrics.avoidable_spend(metrics.offers(joined(spark, sf, "instance_id", "solver_id", "duration_ms", "cost_micros")))
 
 
 @query(needs=("v_joined",), sql="""
  select instance_id, count(*) as n_offers, min(cost_micros) as low, max(cost_micros) as high, max(cost_micros) - min(cost_micros) as gap_micros from v_joined where resolved and cost_micros > 0
  group by instance_id having count(*) >= 2 and max(cost_micros) > min(cost_micros) order by gap_micros desc, instance_id limit 10""")
 def instance_savings_top10(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.instance_savings(metrics.offers(joined(spark, sf)))
+    return metrics.instance_savings(metrics.offers(joined(spark, sf, "instance_id", "solver_id", "duration_ms", "cost_micros")))
 
 
 @query
@@ -164,7 +168,7 @@ SQL["pareto_frontier"] = _S + """, p as (select solver_id, raw_resolution_rate a
 @query(needs=("v_joined",), sql="""
  select coalesce(harness_outcome, 'unknown') as outcome, count(*) as n, count(*) filter (resolved) as n_resolved from v_joined group by 1""")
 def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return joined(spark, sf).groupBy(F.col("harness_outcome").alias("outcome")).agg(F.count("*").alias("n"), F.count_if(F.col("resolved")).alias("n_resolved"))
+    return joined(spark, sf, "instance_id", "solver_id").groupBy(F.col("harness_outcome").alias("outcome")).agg(F.count("*").alias("n"), F.count_if(F.col("resolved")).alias("n_resolved"))
 
 
 # --- joins, dedup, set operations --------------------------------------------------------
@@ -173,14 +177,14 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(needs=("v_attempts", "v_verdicts"), sql="""
  select count(*) as n from (select distinct solver_id, instance_id from v_attempts) a semi join v_verdicts using (solver_id, instance_id)""")
 def matching_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.matching_keys(views.attempts(spark, sf), views.verdicts(spark, sf)).agg(F.count("*").alias("n"))
+    return joins.matching_keys(views.attempts(spark, sf, "instance_id", "solver_id"), views.verdicts(spark, sf)).agg(F.count("*").alias("n"))
 
 
 @query(needs=("v_attempts",), sql="""
  select * exclude (rn) from (select solver_id, instance_id, attempt_id, ended_at, attempt_index, row_number() over (partition by solver_id, instance_id order by coalesce(ended_at, timestamp '1970-01-01') desc, attempt_index desc, attempt_id desc) as rn from v_attempts
   where solver_id is not null and instance_id is not null) where rn = 1""")
 def latest_attempt(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.attempts(spark, sf).filter("solver_id is not null and instance_id is not null").select("solver_id", "instance_id", "attempt_id", "ended_at", "attempt_index")
+    rows = views.attempts(spark, sf, "solver_id", "instance_id", "ended_at").filter("solver_id is not null and instance_id is not null").select("solver_id", "instance_id", "attempt_id", "ended_at", "attempt_index")
     return dedup.last_per(rows, ["solver_id", "instance_id"], [F.coalesce("ended_at", F.lit("1970-01-01").cast("timestamp_ntz")), "attempt_index", "attempt_id"])
 
 
@@ -205,7 +209,7 @@ def prediction_coverage(spark: SparkSession, sf: str) -> DataFrame:
  select r.instance_id, r.job_id, coalesce(nullif(r.solver_id, ''), sole.one) as solver_id from (select distinct instance_id, job_id, solver_id from instance_results) r left join sole using (instance_id)""")
 def solver_backfill(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "instance_results").select("instance_id", "job_id", "solver_id").distinct()
-    sole = dedup.only_per(views.attempts(spark, sf).select("instance_id", "solver_id"), "instance_id", "solver_id")
+    sole = dedup.only_per(views.attempts(spark, sf, "instance_id", "solver_id"), "instance_id", "solver_id")
     return joins.backfilled(rows, sole, "instance_id", "solver_id")
 
 
@@ -231,7 +235,7 @@ def retry_keys(spark: SparkSession, sf: str) -> DataFrame:
  select instance_id, solver_id, duration_ms, 0 from (select * exclude (rn) from (select *, row_number() over (partition by instance_id, solver_id order by attempt_index, attempt_id desc) as rn from r where attempt_index < 2) where rn = 1) anti join b using (instance_id, solver_id)""")
 def retry_merge(spark: SparkSession, sf: str) -> DataFrame:
     """The first attempts as the base run, the least later attempt of a key as its retry; the retry replaces."""
-    rows = views.attempts(spark, sf).filter("instance_id is not null and solver_id is not null").select("attempt_id", "instance_id", "solver_id", "duration_ms", "attempt_index")
+    rows = views.attempts(spark, sf, "instance_id", "solver_id", "duration_ms").filter("instance_id is not null and solver_id is not null").select("attempt_id", "instance_id", "solver_id", "duration_ms", "attempt_index")
     keys = ["instance_id", "solver_id"]
     order = [-F.col("attempt_index"), "attempt_id"]
     runs = [dedup.last_per(rows.filter(c), keys, order).select(*keys, "duration_ms", F.lit(n).alias("run")) for n, c in enumerate(("attempt_index < 2", "attempt_index >= 2"))]
@@ -272,7 +276,7 @@ def job_transitions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return router.solver_rollup(joined(spark, sf))
+    return router.solver_rollup(joined(spark, sf, "instance_id", "solver_id", "started_at", "ended_at", "duration_ms", "cost_micros"))
 
 
 _ROLL = """, o as (select *, row_number() over (partition by solver_id, instance_id order by attempt_index desc, coalesce(ended_at, started_at) desc nulls last, attempt_id desc) as last_,

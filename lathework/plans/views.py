@@ -15,11 +15,14 @@ from lathework.operators import dedup
 from lathework.runtime import table
 
 
-def attempts(spark: SparkSession, sf: str) -> DataFrame:
+def attempts(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The attempts with ``columns`` beside their id, or with all; fewer columns make the deduplication cheaper."""
     raw = table(spark, sf, "telemetry").filter("attempt_id is not null").select(
         "attempt_id", "instance_id", "solver_id", "provider", "started_at", "ended_at", "ingested_at", "duration_ms",
         coerce.micros("cost_usd").alias("cost_micros"), "input_tokens", "output_tokens", "total_tokens", "errors", "usage_source",
     )
+    if columns:
+        raw = raw.select("attempt_id", "ingested_at", *columns)
     return dedup.last_per(raw, ["attempt_id"], ["ingested_at"]).withColumn(
         "attempt_index", F.coalesce(F.regexp_extract("attempt_id", r":attempt-(\d+)$", 1).try_cast("bigint"), F.lit(0))
     )
