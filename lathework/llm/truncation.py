@@ -4,8 +4,10 @@ Each value runs through the structural automaton of its own format: JSON lines (
 strings, escapes and bracket stack), unified diffs (line counts promised by the hunk
 headers), prose and logs (fences, back-ticks, unfinished tracebacks). A note left by the
 cut and a broken multibyte tail decide at once. A value that is structurally whole but
-ends without a terminator is compared with the baseline of its kind: the phrases that end
-sentences inside other values, and the last lines that recur across values.
+ends without a terminator is compared with the baseline of its kind: how often the words it
+stops at end a sentence inside values that aren't cut and how often the text goes on after
+them (of its own solver and field where those tell enough, else of all), and the last lines
+that recur across values.
 
 Defined results: a null or blank value is whole; a ``model_patch`` that was never a diff
 is whole; repeated attempts give one row; extra columns are ignored.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +31,12 @@ FIELDS = ("model_patch", "raw_output", "stderr_output")
 #: Last lines that recur in at least this share of the values of a kind end a value by themselves.
 LAST_LINE_SHARE, LAST_LINE_COUNT = 0.003, 3
 GRAM = 4
+#: A phrase ends a value when it ends at least so many sentences, and this share of the places it stands at.
+PHRASE_COUNT, PHRASE_SHARE = 2, 0.5
+#: From so many places on, a solver's own field decides on a phrase, else all values do.
+SOURCE_COUNT = 20
+#: Bits of the map of asked phrases that the counting pass gets; its size doesn't grow with the input.
+BITS = 1 << 23
 FLUSH = 100_000
 
 _NOTE = re.compile(
@@ -169,29 +178,27 @@ def phrase(sentence: str) -> str:
     return " ".join(_WORD.findall(pieces[-1])[-GRAM:]).rstrip(".!?") if pieces else ""
 
 
-def inner_phrases(text: str) -> Iterator[str]:
-    """The phrases that end the sentences and lines of ``text``, its own end left out."""
+def passages(text: str) -> Iterator[tuple[str, bool]]:
+    """(phrase, it ends a sentence or line) at every word of ``text``, its own end left out."""
     text = masked(text)
     start = 0
-    for m in _SENTENCE_END.finditer(text):
-        piece = text[start : m.end()].strip()
-        start = m.end()
-        if piece:
-            yield " ".join(_WORD.findall(piece[-200:])[-GRAM:]).rstrip(".!?")
+    stops = [m.end() for m in _SENTENCE_END.finditer(text)]
+    for end in [*stops, None]:
+        words = _WORD.findall(text[start:end])
+        start = end
+        for i in range(1, len(words)):
+            yield " ".join(words[max(i - GRAM, 0) : i]), False
+        if words and end is not None:
+            yield " ".join(words[-GRAM:]).rstrip(".!?"), True
+
+
+def has_terminators(field: str, style: str | None) -> bool:
+    return field == "stderr_output" or (field == "raw_output" and style != "jsonl")
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["kind", "attempt_id", "solver_id", "field_name", "verdict", "reason", "tail", "last_line", "n"]
-    phrases: Counter = Counter()
     ends: Counter = Counter()
-
-    def baseline() -> pd.DataFrame:
-        rows = [("phrase", None, None, None, None, None, p, None, n) for p, n in phrases.items()]
-        rows += [("end", None, None, f, None, None, None, p, n) for (f, p), n in ends.items()]
-        phrases.clear()
-        ends.clear()
-        return pd.DataFrame(rows, columns=columns)
-
     for pdf in batches:
         rows = []
         styles = pdf["output_format"].tolist()
@@ -201,35 +208,82 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 verdict, reason, tail, last = examine(field, text, style)
                 rows.append(("value", attempt, solver, field, verdict, reason, tail, last, 1))
-                if field == "model_patch" or (field == "raw_output" and style == "jsonl"):
-                    continue
-                ends[(field, "")] += 1
-                if verdict == "ask":
-                    ends[(field, last)] += 1
-                phrases.update(inner_phrases(text))
+                if has_terminators(field, style):
+                    ends[(field, "")] += 1
+                    if verdict == "ask":
+                        ends[(field, last)] += 1
         yield pd.DataFrame(rows, columns=columns)
-        if len(phrases) > FLUSH:
-            yield baseline()
-    yield baseline()
+        if len(ends) > FLUSH:
+            yield _ends_frame(ends, columns)
+            ends.clear()
+    yield _ends_frame(ends, columns)
+
+
+def _ends_frame(ends: Counter, columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame([("end", None, None, f, None, None, None, p, n) for (f, p), n in ends.items()], columns=columns)
+
+
+def phrase_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """solver_id, field_name, tail, n_end, n_on: the asked phrases in values that aren't cut.
+
+    The pass knows the asked phrases by a bit map, so a few others are counted as well.
+    """
+    bits = bytearray(BITS // 8)
+    for at in asked.select((F.crc32("tail") % BITS).alias("at")).distinct().toPandas()["at"]:
+        bits[at >> 3] |= 1 << (at & 7)
+    bits = bytes(bits)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, list[int]] = {}
+
+        def counted() -> pd.DataFrame:
+            rows = [(*key, *n) for key, n in seen.items()]
+            seen.clear()
+            return pd.DataFrame(rows, columns=["solver_id", "field_name", "tail", "n_end", "n_on"])
+
+        for pdf in batches:
+            for field in ("raw_output", "stderr_output"):
+                for solver, style, text in zip(pdf["solver_id"], pdf["output_format"], pdf[field]):
+                    if text is None or not has_terminators(field, style) or examine(field, text, style)[0] == "cut":
+                        continue
+                    for tail, ends in passages(text):
+                        at = zlib.crc32(tail.encode("utf-8", "replace")) % BITS
+                        if bits[at >> 3] >> (at & 7) & 1:
+                            seen.setdefault((solver, field, tail), [0, 0])[0 if ends else 1] += 1
+            if len(seen) > FLUSH:
+                yield counted()
+        yield counted()
+
+    found = texts.select("solver_id", "output_format", "raw_output", "stderr_output").mapInPandas(
+        scan, "solver_id string, field_name string, tail string, n_end long, n_on long"
+    )
+    return settle(found.groupBy("solver_id", "field_name", "tail").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on")))
+
+
+def ending_phrases(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """The (solver_id, field_name, tail) of ``asked`` that end a value by what their own source, or all values, show."""
+    pooled = counts.groupBy("tail").agg(F.sum("n_end").alias("all_end"), F.sum("n_on").alias("all_on"))
+    own = counts.select(F.col("solver_id").alias("s"), F.col("field_name").alias("f"), F.col("tail").alias("t"), "n_end", "n_on")
+    told = asked.join(pooled, "tail").join(own, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("tail") == F.col("t")), "left")
+    enough = F.coalesce(F.col("n_end") + F.col("n_on") >= SOURCE_COUNT, F.lit(False))
+    n_end, n_on = F.when(enough, F.col("n_end")).otherwise(F.col("all_end")), F.when(enough, F.col("n_on")).otherwise(F.col("all_on"))
+    return told.filter((n_end >= PHRASE_COUNT) & (n_end >= PHRASE_SHARE * (n_end + n_on))).select("solver_id", "field_name", "tail")
 
 
 def examined(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
     """One row per non-null value: attempt_id, solver_id, field_name, is_cut, reason."""
     style = solvers.groupBy("solver_id").agg(F.min("output_format").alias("output_format"))
-    texts = attempts.select("attempt_id", "solver_id", *FIELDS).join(style, "solver_id", "left")
+    texts = attempts.select("attempt_id", "solver_id", *FIELDS).join(style, "solver_id", "left").select("attempt_id", "solver_id", "output_format", *FIELDS)
     seen = settle(
-        texts.select("attempt_id", "solver_id", "output_format", *FIELDS).mapInPandas(
+        texts.mapInPandas(
             _scan,
             "kind string, attempt_id string, solver_id string, field_name string, verdict string, reason string, tail string, last_line string, n long",
         )
     )
     values = seen.filter("kind = 'value'")
     open_ = values.filter("verdict = 'ask'")
-    asked = open_.select("tail").distinct()
-    phrases = (
-        seen.filter("kind = 'phrase'").join(asked, "tail", "left_semi")
-        .groupBy("tail").agg(F.sum("n").alias("ends_sentences"))
-    )
+    asked = open_.select("solver_id", "field_name", "tail").distinct()
+    phrases = ending_phrases(asked, phrase_counts(texts, asked)).select(F.col("solver_id").alias("s"), F.col("field_name").alias("f"), F.col("tail").alias("t"), F.lit(True).alias("phrase_ends"))
     ends = seen.filter("kind = 'end'").groupBy("field_name", "last_line").agg(F.sum("n").alias("n"))
     total = ends.filter("last_line = ''").select("field_name", F.col("n").alias("of"))
     usual = (
@@ -238,9 +292,9 @@ def examined(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
         .select("field_name", "last_line", F.lit(True).alias("usual"))
     )
     answered = (
-        open_.join(phrases, "tail", "left").join(usual, ["field_name", "last_line"], "left")
-        .select("attempt_id", "solver_id", "field_name",
-                (F.col("ends_sentences").isNull() & F.col("usual").isNull()).alias("is_cut"), "reason")
+        open_.join(phrases, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("tail") == F.col("t")), "left")
+        .join(usual, ["field_name", "last_line"], "left")
+        .select("attempt_id", "solver_id", "field_name", (F.col("phrase_ends").isNull() & F.col("usual").isNull()).alias("is_cut"), "reason")
     )
     sure = values.filter("verdict <> 'ask'").select("attempt_id", "solver_id", "field_name", (F.col("verdict") == "cut").alias("is_cut"), "reason")
     return sure.unionByName(answered)

@@ -39,5 +39,23 @@ def test_baseline_decides(spark):
     assert shares["raw_output"]["n_cut"] == 1 and shares["raw_output"]["n_values"] == 23
 
 
+def test_cut_values_give_no_baseline(spark):
+    lines = "hook `a` finished without output.\nhook `b` finished without output.\n"
+    rows = [(f"w{i}", "s", None, None, lines, "plain", i) for i in range(30)]
+    rows += [(f"n{i}", "s", None, None, lines + "hook `c` finished w\n<output clipped at limit>", "plain", i) for i in range(5)]
+    rows += [("torn", "s", None, None, lines + "hook `d` finished w", "plain", 1)]
+    rows += [("stray", "s", None, None, "hook `e` finished\n" + lines, "plain", 1), ("within", "s", None, None, lines + "hook `f` finished", "plain", 1), ("bare", "s", None, None, lines + "hook `g` finished without output", "plain", 1)]
+    found = t.cut_values(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("s", "plain")], "solver_id string, output_format string"))
+    assert {r[0] for r in found.collect()} == {f"n{i}" for i in range(5)} | {"torn", "within"}
+
+
+def test_a_source_with_enough_places_decides_for_itself(spark):
+    rows = [(f"a{i}", "ends", None, "It keeps the map here. It works.\n", None, "plain", i) for i in range(30)]
+    rows += [(f"b{i}", "goes", None, "It keeps the map here as before. It works.\n", None, "plain", i) for i in range(30)]
+    rows += [(f"x-{s}", s, None, "It works. It keeps the map here", None, "plain", 1) for s in ("ends", "goes")]
+    found = t.cut_values(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("ends", "plain"), ("goes", "plain")], "solver_id string, output_format string"))
+    assert {r[0] for r in found.collect()} == {"x-goes"}
+
+
 def test_empty(spark):
     assert t.cut_values(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "solver_id string, output_format string")).count() == 0
