@@ -4,7 +4,8 @@ Every object is canonicalised bottom-up and named by the hash of its canonical f
 Merkle identity: the form holds the hashes of the objects inside it). ``occurrences`` is
 the bridge: one row for each place an object stands, with its path, its parent's path and
 identity, and its ordinal in the array. ``objects`` stores every distinct object once.
-``of_kind`` joins the two into one flat table per kind of nested object.
+``of_kind`` joins the two into one flat table per kind of nested object, the roots of a field
+being a kind of their own; ``values_of`` is the table of the scalars in an array of a kind.
 
 Defined results: a null field or one that isn't valid JSON gives no rows; a field that is
 a JSON string stands for the JSON in it, as does a string under a list-valued key; a bare
@@ -126,19 +127,37 @@ def objects(found: DataFrame) -> DataFrame:
     return places.groupBy("object_id").agg(F.min("attributes").alias("attributes"), F.count("*").alias("n_places"))
 
 
-def of_kind(found: DataFrame, kind: str, columns: dict[str, str]) -> DataFrame:
-    """The flat table of one kind: identity, parent, position and the scalar ``columns`` (name to type)."""
+def _kind_rows(found: DataFrame, kind: str, field: str | None) -> DataFrame:
+    rows = found.filter(F.col("kind") == kind)
+    return rows.filter(F.col("field_name") == field) if field else rows
+
+
+def of_kind(found: DataFrame, kind: str, columns: dict[str, str], field: str | None = None) -> DataFrame:
+    """The flat table of one kind: identity, parent, position and the scalar ``columns`` (name to type).
+
+    The roots of a field are the objects of kind "" in ``field``; they have no parent.
+    """
 
     def value(name: str, of: str) -> Column:
         return F.get_json_object("attributes", f"$['{name}']").try_cast(of).alias(name)
 
     return (
-        found.filter(F.col("kind") == kind)
+        _kind_rows(found, kind, field)
         .select("owner_id", "field_name", "node_path", "parent_path", "ordinal", "object_id", "parent_object_id", *[value(n, t) for n, t in columns.items()])
         .distinct()
     )
 
 
+def values_of(found: DataFrame, kind: str, name: str) -> DataFrame:
+    """One row for each scalar in the array ``name`` of the objects of a kind, naming that object."""
+    values = F.from_json(F.get_json_object("attributes", f"$['{name}']"), "array<string>")
+    return (
+        found.filter(F.col("kind") == kind)
+        .select("owner_id", "field_name", F.col("node_path").alias("parent_path"), F.col("object_id").alias("parent_object_id"), F.posexplode(values).alias("ordinal", name))
+        .distinct()
+    )
+
+
 def array_objects(found: DataFrame) -> DataFrame:
     """The places of the objects that are elements of an array."""
     return found.filter("in_array").select("owner_id", "field_name", "node_path").distinct()

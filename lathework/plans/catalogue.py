@@ -624,11 +624,32 @@ KINDS = {
     "retries": {"at": "string", "why": "string"},
     "signals": {"kind": "string", "weight": "double"},
     "spans": {"start": "bigint", "end": "bigint"},
+    "cached": {"read": "bigint", "write": "bigint"},
+    "args": {"cwd": "string"},
+    "payload": {"host": "string", "run_id": "string"},
 }
 
+#: The roots, one table a field.
+ROOTS = {
+    "usage": {"input_tokens": "bigint", "output_tokens": "bigint", "prompt_tokens": "bigint", "completion_tokens": "bigint"},
+    "metadata": {"schema_version": "string", "host": "string", "run_id": "string"},
+    "features": {
+        "repo": "string", "repo_segment_count": "bigint", "repo_slug_length": "bigint", "version": "string", "version_bucket": "string", "base_commit_present": "boolean",
+        "problem_statement_char_count": "bigint", "problem_statement_word_count": "bigint", "problem_statement_length_bucket": "string", "problem_statement_signal": "string",
+        "problem_statement_has_error_terms": "boolean", "problem_statement_has_stacktrace": "boolean",
+    },
+}
 
-def _kind(kind: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: nested.of_kind(_nested(spark, sf), kind, columns)
+
+def _kind(kind: str, columns: dict[str, str], field: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: nested.of_kind(_nested(spark, sf), kind, columns, field)
 
 
 QUERIES |= {f"p3_{kind}": _kind(kind, columns) for kind, columns in KINDS.items()}
+QUERIES |= {f"p3_{field}": _kind("", columns, field) for field, columns in ROOTS.items()}
+
+
+@query
+def p3_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """The command-line flags of ``args``, the one array of scalars."""
+    return nested.values_of(_nested(spark, sf), "args", "flags")

@@ -2,6 +2,7 @@ import json
 import random
 
 from lathework.operators import nested
+from lathework.plans import catalogue
 
 KEYS = set(nested.LIST_KEYS)
 
@@ -91,3 +92,24 @@ def test_same_object_same_identity():
     a = nested.object_rows('{"x": {"b": 1, "a": [2, {"c": 3}]}}')
     b = nested.object_rows('{"y": 1, "x": {"a": [2, {"c": 3}], "b": 1}}')
     assert a[1][5] == b[1][5] and a[0][5] != b[0][5]
+
+
+def test_every_object_and_scalar_of_the_tables_has_its_flat_row(spark):
+    sf = "/root/testdata/sf0.001"
+    found = catalogue._nested(spark, sf).distinct().collect()
+    tables = {k or f for f, k in {(r["field_name"], r["kind"]) for r in found}}
+    flat, scalars = set(), {}
+    for name in tables:
+        for r in catalogue.QUERIES[f"p3_{name}"](spark, sf).collect():
+            flat.add((r["owner_id"], r["field_name"], r["node_path"], r["parent_path"], r["object_id"], r["parent_object_id"]))
+            scalars[r["object_id"], name] = r.asDict()
+    assert flat == {(r["owner_id"], r["field_name"], r["node_path"], r["parent_path"], r["object_id"], r["parent_object_id"]) for r in found}
+    flags = {}
+    for r in catalogue.QUERIES["p3_flags"](spark, sf).collect():
+        flags.setdefault(r["parent_object_id"], {})[r["ordinal"]] = r["flags"]
+    for r in found:
+        for key, value in json.loads(r["attributes"]).items():
+            if isinstance(value, list) and value and all(isinstance(x, str) for x in value):
+                assert flags[r["object_id"]] == dict(enumerate(value))
+            elif value is not None and not isinstance(value, (dict, list)):
+                assert scalars[r["object_id"], r["kind"] or r["field_name"]][key] == value, (r["kind"], key)
