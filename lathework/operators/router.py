@@ -124,7 +124,30 @@ def fit_tree(rows: DataFrame, features: Sequence[str], label: str, depth: int =
     if cut["impurity"] >= 1 - sum((r["n"] / total) ** 2 for r in top) - 1e-12:
         return leaf
     value = F.col(cut["feature"]).cast("double")
-    return {**cut, "left": fit_tree(rows.filter(value <= cut["threshold"]), features, label, depth - 1), "right": fit_tree(rows.filter(value > cut["threshold"]), features, label, depth - 1)}
+    return {**leaf, **cut, "left": fit_tree(rows.filter(value <= cut["threshold"]), features, label, depth - 1), "right": fit_tree(rows.filter(value > cut["threshold"]), features, label, depth - 1)}
+
+
+def pruned(tree: dict[str, Any], depth: int) -> dict[str, Any]:
+    """A fitted tree as it would be with ``depth`` as its greatest depth."""
+    if "feature" not in tree or depth == 0:
+        return {"label": tree["label"]}
+    return {**tree, "left": pruned(tree["left"], depth - 1), "right": pruned(tree["right"], depth - 1)}
+
+
+def fit_selected(rows: DataFrame, features: Sequence[str], label: str, split: str = "split", max_depth: int = 3) -> tuple[dict[str, Any], int]:
+    """The tree and its depth: of 1 to ``max_depth``, the one most accurate on the validation rows (ties: the shallower), refitted on train and validation.
+
+    Without validation rows the training rows decide and nothing is added. The greedy tree
+    of a lesser depth is the deepest one pruned, so one fit serves all depths.
+    """
+    train = rows.filter(F.col(split) == "train")
+    validation = rows.filter(F.col(split) == "validation")
+    held = not validation.isEmpty()
+    deepest = fit_tree(train, features, label, max_depth)
+    depths = range(1, max_depth + 1)
+    hits = (validation if held else train).agg(*[F.count_if(predicted(pruned(deepest, d)) == F.col(label)).alias(f"d{d}") for d in depths]).first()  # one row
+    depth = max(depths, key=lambda d: (hits[f"d{d}"], -d))
+    return (fit_tree(train.unionByName(validation), features, label, depth) if held else pruned(deepest, depth)), depth
 
 
 def predicted(tree: dict[str, Any]) -> Column:

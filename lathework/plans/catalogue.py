@@ -345,16 +345,27 @@ def gini_by_label(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers of a task beside its routing label."""
-    items = dedup.last_per(table(spark, sf, "materialized_items").filter("instance_id is not null").select("instance_id", "ingested_at", "problem_statement", "version"), ["instance_id"], ["ingested_at"])
-    w = F.size(text.words("problem_statement"))
+    columns = ("problem_statement", "version", "repo", "base_commit")
+    items = dedup.last_per(table(spark, sf, "materialized_items").filter("instance_id is not null").select("instance_id", "ingested_at", *columns), ["instance_id"], ["ingested_at"])
+    repo, n_words = coerce.text("repo"), F.size(text.words("problem_statement"))
+    numbers = (
+        F.char_length(coerce.text("problem_statement")), text.filled_lines("problem_statement"), n_words,
+        F.when(repo == "", 0).otherwise(F.size(F.split(repo, "/"))), F.char_length(repo), (coerce.text("base_commit") != "").cast("int"),
+    )
+    told = {"version_bucket": text.version_bucket("version"), "problem_statement_length_bucket": text.length_bucket(n_words), "problem_statement_signal": text.signal("problem_statement")}
     return items.select(
-        "instance_id", w.alias("word_count"), F.char_length(F.coalesce("problem_statement", F.lit(""))).alias("char_count"),
-        *[(text.signal("problem_statement") == n).cast("int").alias(f"signal_{n}") for n in ("stacktrace", "error", "test", "path", "neutral")],
-        *[(text.version_bucket("version") == n).cast("int").alias(f"version_{n.replace('-', '_')}") for n in ("unknown", "python-tagged", "semantic", "compound", "opaque")],
-    ).join(_routed(spark, sf).select("instance_id", "label", "n_solvers"), "instance_id")
+        "instance_id", *[c.alias(n) for n, c in zip(NUMBERS, numbers, strict=True)],
+        *[(told[name] == bucket).cast("int").alias(f"{name}={bucket}") for name, buckets in BUCKETS.items() for bucket in buckets],
+    ).join(_routed(spark, sf).select("instance_id", "label"), "instance_id")
 
 
-FEATURES = ("word_count", "char_count", "n_solvers", "signal_stacktrace", "signal_error", "signal_test", "signal_path", "version_semantic", "version_unknown")
+NUMBERS = ("problem_statement_char_count", "problem_statement_line_count", "problem_statement_word_count", "repo_segment_count", "repo_slug_length", "base_commit_present")
+BUCKETS = {
+    "version_bucket": ("unknown", "python-tagged", "semantic", "compound", "opaque"),
+    "problem_statement_length_bucket": ("short", "medium", "long", "very_long"),
+    "problem_statement_signal": ("stacktrace", "error", "test", "path", "neutral"),
+}
+FEATURES = (*NUMBERS, *(f"{name}={bucket}" for name, buckets in BUCKETS.items() for bucket in buckets))
 
 
 @query
@@ -365,9 +376,9 @@ def best_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tree_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """A tree fitted on the training split, told on all rows inside CASE expressions."""
+    """The tree of the depth that validates best, told on all rows inside CASE expressions."""
     rows = settle(router.stratified_split(_vectors(spark, sf), "instance_id", "label"))
-    tree = router.fit_tree(rows.filter("split = 'train'"), FEATURES, "label", depth=2)
+    tree, _ = router.fit_selected(rows, FEATURES, "label")
     return rows.select("instance_id", "split", "label", router.predicted(tree).alias("predicted"))
 
 

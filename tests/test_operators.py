@@ -63,6 +63,32 @@ def test_tree(spark):
     assert router.best_split(df.filter("x < 0"), ["x"], "label") is None
 
 
+def test_depth_is_selected_on_validation_and_refitted(spark):
+    grid = [(float(x), float(y)) for x in range(10) for y in range(6)]
+    truth = lambda x, y: "a" if x < 5 else ("b" if y < 2 else "c")
+    schema = "x double, y double, label string, split string"
+    both = spark.createDataFrame([(x, y, truth(x, y), s) for x, y in grid for s in ("train", "validation", "test")], schema)
+    tree, depth = router.fit_selected(both, ["x", "y"], "label")
+    assert depth == 2 and both.filter(router.predicted(tree) != F.col("label")).count() == 0
+    shallow = spark.createDataFrame([(x, y, truth(x, y) if s == "train" else ("a" if x < 5 else "c"), s) for x, y in grid for s in ("train", "validation")], schema)
+    assert router.fit_selected(shallow, ["x", "y"], "label")[1] == 1
+    moved = spark.createDataFrame([(0.0, 0.0, "a", "train"), (4.0, 0.0, "b", "train"), (1.0, 0.0, "a", "validation"), (3.0, 0.0, "b", "validation"), (1.5, 0.0, "a", "validation")], schema)
+    assert router.fit_selected(moved, ["x"], "label")[0]["threshold"] == 2.25
+    assert router.fit_selected(moved.filter("split = 'train'"), ["x"], "label")[0]["threshold"] == 2.0
+
+
+def test_all_features_of_a_task_are_offered(spark):
+    from lathework.plans import catalogue
+
+    assert len(set(catalogue.FEATURES)) == 20
+    rows = catalogue._vectors(spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    for r in rows:
+        assert all(r[f] is not None for f in catalogue.FEATURES)
+        for name, buckets in catalogue.BUCKETS.items():
+            assert sum(r[f"{name}={b}"] for b in buckets) == 1
+
+
 def test_dedup_and_merge(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 3, "b"), ("k", 2, "c"), ("m", None, "z")], "k string, at int, v string")
     assert {r["k"]: r["v"] for r in dedup.last_per(df, ["k"], ["at"]).collect()} == {"k": "b", "m": "z"}
