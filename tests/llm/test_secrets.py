@@ -18,6 +18,14 @@ def test_found():
         assert lines("context\n" + line + "\nmore") == [2], line
 
 
+def test_the_prefilter_loses_no_form_the_parser_knows():
+    for line in (
+        "<clientSecret>72ICTKZnEes89XXO9GxO</clientSecret>", "<authToken>72ICTKZnEes89XXO9GxO</authToken>", "<privateKey>72ICTKZnEes89XXO9GxO</privateKey>", "<apiKey>72ICTKZnEes89XXO9GxO</apiKey>",
+        "API_KEY_PROD=72ICTKZnEes89XXO9GxO", "signing_key_v2 = '72ICTKZnEes89XXO9GxO'", "ldapsearch -U svc:72ICTKZnEes89XXO9GxO -h x", "Authorization:\tBearer\t72ICTKZnEes89XXO9GxO",
+    ):
+        assert lines("context\n" + line + "\nmore") == [2], line
+
+
 def test_left_alone():
     for line in (
         'password = "<your-password>"', 'api_key = "YOUR_API_KEY"', 'db_password = "********"', "client_secret = vault.read(\"kv/app\")", "token = tokenizer.next_token()", "password = getpass.getpass()",
