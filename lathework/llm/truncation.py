@@ -15,6 +15,7 @@ is whole; repeated attempts give one row; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -30,6 +31,8 @@ from lathework.runtime import settle
 FIELDS = ("model_patch", "raw_output", "stderr_output")
 #: Last lines that recur in at least this share of the values of a kind end a value by themselves.
 LAST_LINE_SHARE, LAST_LINE_COUNT = 0.003, 3
+#: So do those that recur in this share of the values of a kind that one solver has; more, as few values may be torn alike by chance.
+OWN_LINE_SHARE, OWN_LINE_COUNT = 0.02, 6
 GRAM = 4
 #: A phrase ends a value when it ends at least so many sentences, and this share of the places it stands at.
 PHRASE_COUNT, PHRASE_SHARE = 2, 0.5
@@ -133,7 +136,7 @@ def is_diff(text: str) -> bool:
 
 
 def examine(field: str, text: str | None, style: str | None = None) -> tuple[str, str, str, str]:
-    """(verdict, reason, tail phrase, last line): verdict is ``cut``, ``whole`` or ``ask`` the baseline."""
+    """(verdict, reason, tail phrase, hash of the last line): verdict is ``cut``, ``whole`` or ``ask`` the baseline."""
     whole, cut = ("whole", "", "", ""), lambda why: ("cut", why, "", "")
     if not text or not text.strip():
         return whole
@@ -170,7 +173,7 @@ def examine(field: str, text: str | None, style: str | None = None) -> tuple[str
         return whole
     if re.search(r"(?:^|[\s,])(?:[\w.-]+/)+[\w-]+\.[a-z]{1,4}$", line) and re.match(r"(?:[-*] |[A-Z][\w ]{2,20}: )", line):
         return whole  # a list of paths
-    return ("ask", "terminator", phrase(line), masked(line)[:200])
+    return ("ask", "terminator", phrase(line), hashlib.blake2b(masked(line).encode("utf-8", "replace"), digest_size=16).hexdigest())
 
 
 def phrase(sentence: str) -> str:
@@ -209,9 +212,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 verdict, reason, tail, last = examine(field, text, style)
                 rows.append(("value", attempt, solver, field, verdict, reason, tail, last, 1))
                 if has_terminators(field, style):
-                    ends[(field, "")] += 1
+                    ends[(solver, field, "")] += 1
                     if verdict == "ask":
-                        ends[(field, last)] += 1
+                        ends[(solver, field, last)] += 1
         yield pd.DataFrame(rows, columns=columns)
         if len(ends) > FLUSH:
             yield _ends_frame(ends, columns)
@@ -220,7 +223,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _ends_frame(ends: Counter, columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame([("end", None, None, f, None, None, None, p, n) for (f, p), n in ends.items()], columns=columns)
+    return pd.DataFrame([("end", None, s, f, None, None, None, p, n) for (s, f, p), n in ends.items()], columns=columns)
 
 
 def phrase_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -284,17 +287,25 @@ def examined(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
     open_ = values.filter("verdict = 'ask'")
     asked = open_.select("solver_id", "field_name", "tail").distinct()
     phrases = ending_phrases(asked, phrase_counts(texts, asked)).select(F.col("solver_id").alias("s"), F.col("field_name").alias("f"), F.col("tail").alias("t"), F.lit(True).alias("phrase_ends"))
-    ends = seen.filter("kind = 'end'").groupBy("field_name", "last_line").agg(F.sum("n").alias("n"))
+    own = seen.filter("kind = 'end'").groupBy("solver_id", "field_name", "last_line").agg(F.sum("n").alias("n"))
+    ends = own.groupBy("field_name", "last_line").agg(F.sum("n").alias("n"))
     total = ends.filter("last_line = ''").select("field_name", F.col("n").alias("of"))
+    own_total = own.filter("last_line = ''").select(F.col("solver_id").alias("s"), F.col("field_name").alias("f"), F.col("n").alias("of"))
     usual = (
         ends.filter("last_line <> ''").join(F.broadcast(total), "field_name")  # one row per field
         .filter((F.col("n") >= LAST_LINE_COUNT) & (F.col("n") >= LAST_LINE_SHARE * F.col("of")))
         .select("field_name", "last_line", F.lit(True).alias("usual"))
     )
+    own_usual = (
+        own.filter("last_line <> ''").join(own_total, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")))
+        .filter((F.col("n") >= OWN_LINE_COUNT) & (F.col("n") >= OWN_LINE_SHARE * F.col("of")))
+        .select("s", "f", F.col("last_line").alias("l"), F.lit(True).alias("own_usual"))
+    )
     answered = (
-        open_.join(phrases, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("tail") == F.col("t")), "left")
+        open_.join(phrases, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("tail") == F.col("t")), "left").drop("s", "f", "t")
         .join(usual, ["field_name", "last_line"], "left")
-        .select("attempt_id", "solver_id", "field_name", (F.col("phrase_ends").isNull() & F.col("usual").isNull()).alias("is_cut"), "reason")
+        .join(own_usual, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("last_line") == F.col("l")), "left")
+        .select("attempt_id", "solver_id", "field_name", (F.col("phrase_ends").isNull() & F.col("usual").isNull() & F.col("own_usual").isNull()).alias("is_cut"), "reason")
     )
     sure = values.filter("verdict <> 'ask'").select("attempt_id", "solver_id", "field_name", (F.col("verdict") == "cut").alias("is_cut"), "reason")
     return sure.unionByName(answered)

@@ -57,5 +57,15 @@ def test_a_source_with_enough_places_decides_for_itself(spark):
     assert {r[0] for r in found.collect()} == {"x-goes"}
 
 
+def test_a_small_solver_has_its_own_usual_last_lines(spark):
+    rows = [(f"b{i}", "big", None, None, "All done.", "plain", i) for i in range(3000)]
+    rows += [(f"s{i}", "small", None, None, "line one.\nbye" if i < 8 else "All done.", "plain", i) for i in range(40)]
+    rows += [("torn", "small", None, None, "line one.\nby", "plain", 1)]
+    alike = "x" * 250
+    rows += [(f"l{i}", "long", None, None, "line one.\n" + alike + " end of it", "plain", i) for i in range(20)] + [("longer", "long", None, None, "line one.\n" + alike + " end o", "plain", 1)]
+    styles = spark.createDataFrame([(s, "plain") for s in ("big", "small", "long")], "solver_id string, output_format string")
+    assert {r[0] for r in t.cut_values(spark.createDataFrame(rows, SCHEMA), styles).collect()} == {"torn", "longer"}
+
+
 def test_empty(spark):
     assert t.cut_values(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "solver_id string, output_format string")).count() == 0
