@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "lathework") -> SparkSession:
@@ -29,16 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and cut its lineage.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary
-    one is used only where the session names none, as in single-machine tests.
+    A temporary one is made where a single-machine session names none; a cluster must name one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lathework-"))
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="lathework-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+        atexit.register(_remove, spark, sc.getCheckpointDir())
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and cut its lineage; the files go with the session."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -48,16 +61,17 @@ def stow(df: DataFrame, name: str = "table") -> DataFrame:
     The table is removed when the session's Python ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lathework-"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.parquet(path)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a settled table, marked for broadcast where it has at most ``rows`` rows; else as it is, and Spark shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
