@@ -1,14 +1,13 @@
 """Filling containers of fixed capacity with texts (problem 8).
 
 A text larger than the capacity is divided into full pieces and a rest; nothing else is
-divided. Pieces are spread over blocks of bounded size by a hash of their text's id, so a
-block fits one task at any scale, and every block is packed by multiway differencing:
-partial partitions start as one item each, the two with the largest spread between their
-fullest and emptiest window are joined with opposing imbalances until one is left. A
-window beyond the capacity gives up items to windows with room; those that find none raise
-the window count. Best-fit decreasing packs the same block, and the packing with fewer
-windows counts (differencing on a tie), since near-equal windows waste room when few items
-fit in one.
+divided. Pieces are spread over blocks by a hash of their text's id, each block with about
+``WINDOWS`` windows' worth of tokens, so a block fits one task at any scale. A block is packed
+by multiway differencing: partial partitions start as one item each, the two with the largest
+spread between their fullest and emptiest window are joined with opposing imbalances until one
+is left. It starts with the least count of windows that could hold the block. Where windows
+exceed the capacity, those that don't are kept and the pieces of the others are differenced
+again, over one window more at least, until none is exceeded.
 
 Defined results: null and blank texts without tokens get no container; repeated ids count
 once (the largest size); a capacity below 1 or null holds nothing; an empty table gives no
@@ -17,7 +16,6 @@ rows.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -29,7 +27,8 @@ from pyspark.sql import functions as F
 from lathework.llm import tokens
 from lathework.runtime import settle
 
-BLOCK = 1024
+#: A block holds about so many windows' worth of tokens, and about so many pieces at most.
+WINDOWS, PIECES = 384, 16_384
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -65,41 +64,20 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def best_fit(sizes: list[int], capacity: int, items: list[int], windows: list[list[int]] | None = None) -> list[list[int]]:
-    """Best-fit decreasing of ``items`` into ``windows`` (changed in place) and new ones."""
-    windows = [] if windows is None else windows
-    room = sorted((capacity - sum(sizes[i] for i in w), at) for at, w in enumerate(windows))
-    for item in sorted(items, key=lambda i: (-sizes[i], i)):
-        at = bisect.bisect_left(room, (sizes[item], -1))
-        if at < len(room):
-            left, window = room.pop(at)
-            windows[window].append(item)
-        else:
-            left, window = capacity, len(windows)
-            windows.append([item])
-        bisect.insort(room, (left - sizes[item], window))
-    return windows
-
-
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of item numbers, none beyond ``capacity``; every size is at most the capacity."""
-    if not sizes:
-        return []
-    windows = differencing(sizes, max(1, -(-sum(sizes) // capacity)))
-    homeless: list[int] = []
-    for w in windows:
-        over = sum(sizes[i] for i in w) - capacity
-        w.sort(key=lambda i: (sizes[i], i))
-        while over > 0:
-            at = next((n for n, i in enumerate(w) if sizes[i] >= over), len(w) - 1)  # the smallest that suffices
-            over -= sizes[w[at]]
-            homeless.append(w.pop(at))
-    windows = best_fit(sizes, capacity, homeless, [w for w in windows if w])
-    other = best_fit(sizes, capacity, list(range(len(sizes))))
-    return windows if len(windows) <= len(other) else other
-
-
-def containers_of(documents: DataFrame, containers: DataFrame, vocabulary: str = tokens.VOCABULARY, block: int = BLOCK) -> DataFrame:
+    done: list[list[int]] = []
+    pool, least = list(range(len(sizes))), 1
+    while pool:
+        held = [sizes[i] for i in pool]
+        windows = [[pool[j] for j in w] for w in differencing(held, max(least, -(-sum(held) // capacity)))]
+        over = [w for w in windows if sum(sizes[i] for i in w) > capacity]
+        done += [w for w in windows if sum(sizes[i] for i in w) <= capacity]
+        pool, least = [i for w in over for i in w], len(over) + 1
+    return done
+
+
+def containers_of(documents: DataFrame, containers: DataFrame, vocabulary: str = tokens.VOCABULARY, windows: int = WINDOWS) -> DataFrame:
     """(container_name, doc_id, piece_no, n_tokens, container_id): where each piece of each text goes."""
     kinds = [(r[0], int(r[1])) for r in containers.dropna().filter("capacity_tokens >= 1").select("container_name", "capacity_tokens").distinct().collect()]  # a fixed table of few rows
     sized = settle(
@@ -116,11 +94,15 @@ def containers_of(documents: DataFrame, containers: DataFrame, vocabulary: str =
         .select("container_name", "doc_id", F.explode(F.sequence(F.lit(0), (F.floor(F.col("n_tokens") / F.col("capacity")) - 1).cast("int"))).alias("piece_no"), F.col("capacity").alias("n_tokens"))
         .withColumn("container_id", F.concat_ws("-", F.lit("full"), "doc_id", "piece_no"))
     )
-    blocks = max(1, -(-sized.count() // block))
+    left = sized.agg(*[x for i, (_, c) in enumerate(kinds) for x in (F.sum(F.col("n_tokens") % c).alias(f"t{i}"), F.count_if(F.col("n_tokens") % c > 0).alias(f"n{i}"))]).first()  # one row
+    blocks = F.lit(1)
+    for i, (name, c) in enumerate(kinds):
+        n = max(1, -(-(left[f"t{i}"] or 0) // (windows * c)), -(-left[f"n{i}"] // PIECES))
+        blocks = F.when((F.col("container_name") == name) & (F.col("capacity") == c), n).otherwise(blocks)
     rest = (
         wanted.withColumn("piece_no", F.floor(F.col("n_tokens") / F.col("capacity")).cast("int"))
         .withColumn("n_tokens", F.col("n_tokens") % F.col("capacity")).filter("n_tokens > 0")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
     )
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
