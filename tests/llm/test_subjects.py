@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from lathework.llm import subjects as s
 
@@ -35,13 +36,39 @@ def test_subjects_of_made_texts(spark):
 
 
 def test_matrix_products():
-    ids, counts = [np.array([0, 2]), np.array([], dtype=int), np.array([1])], [np.array([1, 3]), np.array([], dtype=int), np.array([2])]
-    m, norm = s.matrix(ids, counts, np.array([1.0, 2.0, 0.5]))
-    dense = np.zeros((3, 3))
-    for r in range(3):
-        for i, c in zip(ids[r], counts[r]):
-            dense[r, i] = (1 + np.log(c)) * [1.0, 2.0, 0.5][i] / norm[r]
+    row, slot = np.array([0, 0, 0, 0, 2, 2]), np.array([0, 2, 2, 2, 1, 1])
+    m = s.matrix(row, slot, 3, np.array([1.0, 2.0, 0.5]))
+    dense = np.array([[1.0, 0, (1 + np.log(3)) * 0.5], [0, 0, 0], [0, (1 + np.log(2)) * 2, 0]])
+    norm = np.linalg.norm(dense, axis=1)
+    assert np.allclose(m.norm, norm)
+    dense /= np.where(norm == 0, 1, norm)[:, None]
     q = np.random.default_rng(0).standard_normal((3, 2))
     out = np.zeros((3, 2))
     s.add_transposed(out, m, s.times(m, q))
-    assert np.allclose(s.times(m, q), dense @ q) and np.allclose(out, dense.T @ dense @ q)
+    assert np.allclose(s.times(m, q), dense @ q, atol=1e-6) and np.allclose(out, dense.T @ dense @ q, atol=1e-6)
+
+
+def test_reading_leaves_code_out():
+    words = lambda t: [w for w in s.said(t, s._Ids()) if w >= 0]
+    assert words("The `broth_oven` rises. See src/oven/a.py.") == words("the rises see")
+    assert words("```\ndough(x)\n```\nuser: Warm dough\nreturn dough(1)\n  at dough.x(y)\nTypeError: oven") == words("warm dough")
+    assert s.said("One. Two\nthree four", s._Ids()).count(s.BREAK) == 2 and s.said("", s._Ids()) == []
+    many = s.said("word " * 100_000, s._Ids())
+    assert len(many) == 100_000
+
+
+def test_rare_words_share_slots():
+    counts = pd.DataFrame({"id": [5, 9, 100, 101, 2000], "n": [50, 40, 1, 1, 1]})
+    slot_of, held = s.slots(counts, 2, 4)
+    assert slot_of[5] == 0 and slot_of[9] == 1 and {slot_of[i] for i in (100, 101, 2000)} <= {2, 3, 4, 5}
+    assert held.sum() == 93 and len(held) == 6
+
+
+def test_mentions_are_learned():
+    rng = np.random.default_rng(3)
+    sentences = [np.unique(np.r_[rng.integers(0, 500, 8), [900, 901] if i % 10 == 0 else [950]]) for i in range(2000)]
+    off = np.array([float(i % 10 == 0) for i in range(2000)])
+    weights, bias = s.fit_mentions(sentences, off)
+    told = np.array([bias + weights[x].sum() / np.sqrt(len(x)) for x in sentences]) > 0
+    assert (told == (off > 0)).mean() > 0.99
+    assert s.fit_mentions(sentences, np.zeros(2000))[1] == -np.inf
