@@ -3,15 +3,17 @@
 A response is the answer read out of the tool's output together with the patch. A
 multi-label linear classifier scores it for refusal, copy, language and loss of its end,
 on hashed word n-grams of the answer and on features of the pair: how much of the answer
-stands in the statement and the other way round, how the languages of both lean, whether
+stands in the statement and the other way round, how many words are its own, how the
+languages of both lean, each also cut into steps so that a linear score can bend; whether
 there is a patch. It is trained on a bounded sample of pairs that have a patch, made
 defective on purpose: answers cut short, statements given back (as they are, quoted, in
-capitals, with sentences turned round), answers swapped in from an item in another
-language, and refusals. Thresholds are set on held-out synthetic pairs.
+capitals, with sentences turned round or left out, with a word of its own around them),
+answers swapped in from an item in another language, and refusals. The scores of held-out
+synthetic pairs are calibrated to probabilities.
 
-``defects`` puts the findings together: an end lost (by the structural operator) before an
-empty response before the classifier's strongest label above its threshold. A copy and a
-foreign language are confirmed exactly on the pair.
+``defects`` puts the findings together: an end lost (a case of the structural operator, which
+is what the defect is) before an empty response before the classifier's most probable label,
+where that is more probable than not.
 
 Defined results: without an item or with a blank statement there is no copy and no
 language; attempts delivered twice give one row; of an item delivered twice the statement
@@ -22,6 +24,7 @@ are skipped when the answer is read.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -42,9 +45,11 @@ EPOCHS = 6
 LABELS = ("refusal", "copy", "language", "truncated")
 #: Copies and foreign languages show in the pair only, so their labels weigh the pair features alone.
 WORDED = np.array([1.0, 0.0, 0.0, 1.0])
-COPIED = 0.75
-EXTRA = 8
-FOREIGN = 0.75
+#: The share of words from which a sentence given back with changes counts as the same.
+SAME = 0.8
+STEPS = np.linspace(0.1, 0.9, 9)
+#: A Python task judges about so many pairs.
+TASK = 5_000
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -74,6 +79,8 @@ CLOSINGS = (
     "If you have another task, I am happy to look at it.", "The request could affect people who have not agreed to it.", "This might be unsafe.",
 )
 
+OPENINGS = ("The task:", "Here is the task again.", "As I understand it, the request says:", "Issue text:", "Aufgabe:", "La tarea:", "La demande :")
+
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _QUOTED = re.compile(r"\"[^\"\n]{3,400}\"|“[^”\n]{3,400}”|«[^»\n]{3,400}»|`[^`\n]*`|```.*?```|(?:[\w.-]+/)+[\w.-]+", re.S)
 _PIECE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -128,40 +135,61 @@ class Back(NamedTuple):
     theirs: float  # share of the statement's words that stand in the text
     extra: int  # words of the text that stand nowhere in the statement
 
-    @property
-    def copied(self) -> bool:
-        return self.mine >= COPIED or (self.theirs >= 0.8 and self.extra <= EXTRA)
+
+class Statement:
+    """A statement's sentences with what a comparison looks up: words by sentence, runs of five words."""
+
+    def __init__(self, text: str | None):
+        said = set(pieces(text)) if text else set()
+        self.sentences = list(said)
+        self.known = said
+        self.bags = [Counter(t) for t in self.sentences]
+        self.words = Counter(w for t in self.sentences for w in t)
+        self.grams = {g for s in self.sentences for g in zip(s, s[1:], s[2:], s[3:], s[4:])}
+        self.places: dict[str, list[int]] = {}
+        for i, bag in enumerate(self.bags):
+            for w in bag:
+                self.places.setdefault(w, []).append(i)
+
+    def closest(self, s: tuple[str, ...]) -> int:
+        """The most words that a sentence of the statement has in common with ``s``, where that is enough of ``s``; else 0.
+
+        All but the missing share of the words must be met, so one of the rarest of more than that share is.
+        """
+        least = math.ceil(SAME * len(s) - 1e-9)
+        rarest = sorted(s, key=lambda w: len(self.places.get(w, ())))[: len(s) - least + 1]
+        bag = Counter(s)
+        close = max(((bag & self.bags[i]).total() for i in {i for w in rarest for i in self.places.get(w, ())} if len(self.sentences[i]) <= 3 * len(s)), default=0)
+        return close if close >= least else 0
 
 
-def given_back(text: str, statement: list[tuple[str, ...]]) -> Back:
+def given_back(text: str, statement: Statement) -> Back:
     """Compare sentence by sentence: whole, with words left out, or in runs of five words."""
-    mine, theirs = pieces(text), set(statement)
-    bags = [(len(t), Counter(t)) for t in theirs]
-    grams = {g for s in theirs for g in zip(s, s[1:], s[2:], s[3:], s[4:])}
+    mine = pieces(text)
 
     def inside(s: tuple[str, ...]) -> float:
-        if s in theirs:
+        if s in statement.known:
             return float(len(s))
-        if len(s) >= 3:
-            bag = Counter(s)
-            close = max(((bag & t).total() for n, t in bags if n <= 3 * len(s)), default=0)
-            if close >= 0.8 * len(s):
-                return float(close)
+        if len(s) >= 3 and (close := statement.closest(s)):
+            return float(close)
         if len(s) < 6:
             return 0.0
         runs = list(zip(s, s[1:], s[2:], s[3:], s[4:]))
-        return float(len(s)) * sum(r in grams for r in runs) / len(runs)
+        return float(len(s)) * sum(r in statement.grams for r in runs) / len(runs)
 
     words = sum(map(len, mine))
     back = sum(map(inside, mine))
-    all_mine = Counter(w for s in mine for w in s)
-    all_theirs = Counter(w for s in theirs for w in s)
-    whole = all_theirs.total()
-    common = (all_mine & all_theirs).total()
+    common = (Counter(w for s in mine for w in s) & statement.words).total()
+    whole = statement.words.total()
     return Back(back / words if words else 0.0, common / whole if whole else 0.0, words - common)
 
 
-DENSE = 14
+def steps(x: float, there: bool = True) -> list[float]:
+    """A share and the steps it passes, all 0 where there is nothing to measure."""
+    return [x, *(x >= STEPS).astype(float)] if there else [0.0] * (len(STEPS) + 1)
+
+
+DENSE = 8 + 6 * (len(STEPS) + 1)
 
 
 def features(answer: str, statement: str | None, note: str | None, has_diff: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -172,19 +200,21 @@ def features(answer: str, statement: str | None, note: str | None, has_diff: boo
     for n in (1, 2, 3):
         for i in range(len(words) - n + 1):
             grams.add(zlib.crc32(" ".join(words[i : i + n]).encode("utf-8", "replace")) & ((1 << BITS) - 1))
-    said = pieces(statement) if statement else []
+    said = Statement(statement)
     none = Back(0.0, 0.0, 0)
-    back = given_back(answer, said) if said and worded(answer) else none
-    noted = given_back(note, said) if note and said else none
+    asked = bool(said.sentences)
+    back = given_back(answer, said) if asked and worded(answer) else none
+    noted = given_back(note, said) if asked and note else none
     here, there = leaning(answer), leaning(statement or "")
     best = max(LANGUAGES, key=lambda x: there[x])
     told = max(here.values()) > 0 and there[best] > 0
     end = answer.rstrip()[-1:] if answer.rstrip() else "."
-    foreign = 1 - here[best] if told else 0.0
+    tight = lambda b: b.theirs / (1 + b.extra / 16)  # noqa: E731  all of the statement, and little else
     dense = np.array([
-        1.0, back.mine, back.theirs, float(back.copied), noted.mine, float(noted.copied), foreign, there[best] * (max(here.values()) - here[best]) if told else 0.0,
-        float(foreign >= FOREIGN), float(foreign >= FOREIGN and back.mine < 0.5),
-        float(has_diff), min(len(words), 200) / 200, float(len(words) < 45), float(end.isalnum() or end in ",;([{\\/_-"),
+        1.0, float(has_diff), min(len(words), 200) / 200, float(len(words) < 45), float(end.isalnum() or end in ",;([{\\/_-"), float(bool(note)),
+        there[best] * (max(here.values()) - here[best]) if told else 0.0, float(told),
+        *steps(back.mine), *steps(tight(back)), *steps(noted.mine), *steps(tight(noted)),
+        *steps(1 - here[best], told), *steps((1 - here[best]) * (1 - back.mine), told),
     ])
     return np.fromiter(grams, dtype=np.int64, count=len(grams)), dense
 
@@ -192,12 +222,15 @@ def features(answer: str, statement: str | None, note: str | None, has_diff: boo
 class Classifier(NamedTuple):
     sparse: np.ndarray
     dense: np.ndarray
-    thresholds: np.ndarray
+    calibration: np.ndarray  # slope and offset of each label's log odds
 
     def scores(self, grams: np.ndarray, dense: np.ndarray) -> np.ndarray:
         z = self.dense @ dense
         return z + self.sparse[:, grams].sum(1) / np.sqrt(len(grams)) if len(grams) else z
 
+    def log_odds(self, grams: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        return self.calibration[:, 0] * self.scores(grams, dense) + self.calibration[:, 1]
+
 
 def made_defective(sample: list[tuple[str, str]], rng: np.random.Generator) -> list[tuple[str, str | None, str | None, bool, int]]:
     """(answer, statement, note, has_diff, label number or -1) from (statement, answer) pairs taken as sound."""
@@ -217,8 +250,11 @@ def made_defective(sample: list[tuple[str, str]], rng: np.random.Generator) -> l
         if roll < 0.25:  # given back
             lines = [p for p in _PIECE.split(statement) if p.strip()]
             rng.shuffle(lines)
-            way = int(rng.integers(5))
-            copy = (statement, "> " + statement.replace("\n", "\n> "), statement.upper(), " ".join(lines), "\n".join("> " + x for x in lines))[way]
+            way = int(rng.integers(7))
+            copy = (
+                statement, "> " + statement.replace("\n", "\n> "), statement.upper(), " ".join(lines), "\n".join("> " + x for x in lines),
+                OPENINGS[int(rng.integers(len(OPENINGS)))] + " " + statement, " ".join(lines[: max(1, len(lines) - 1)]),
+            )[way]
             if rng.random() < 0.3:
                 out.append(("", statement, copy, False, 1))
             else:
@@ -240,7 +276,7 @@ def made_defective(sample: list[tuple[str, str]], rng: np.random.Generator) -> l
 
 
 def train(sample: list[tuple[str, str]], seed: int = 11) -> Classifier:
-    """Logistic regression for each label by adaptive gradient steps; thresholds from a fifth held out."""
+    """Logistic regression for each label by adaptive gradient steps; calibrated on a fifth held out."""
     rng = np.random.default_rng(seed)
     made = made_defective(sample, rng)
     rows = [(features(a, s, n, d), label) for a, s, n, d, label in made]
@@ -265,23 +301,44 @@ def train(sample: list[tuple[str, str]], seed: int = 11) -> Classifier:
                 step = (error * scale * WORDED)[:, None]
                 gs[:, grams] += step**2
                 sparse[:, grams] -= 0.3 * step / np.sqrt(gs[:, grams])
-    model = Classifier(sparse, dense, np.zeros(k))
+    model = Classifier(sparse, dense, np.tile([1.0, 0.0], (k, 1)))
     scores = np.array([model.scores(*rows[i][0]) for i in held]).reshape(len(held), k)
     truth = np.array([rows[i][1] for i in held])
-    cuts = []
-    for j in range(k):
-        best, at = -1.0, 0.0
-        for cut in np.unique(np.r_[0.0, np.quantile(scores[:, j], np.linspace(0.4, 0.999, 120))]) if len(held) else [0.0]:
-            said = scores[:, j] >= cut
-            hit = (said & (truth == j)).sum()
-            f1 = 2 * hit / max(1, said.sum() + (truth == j).sum())
-            if f1 > best + 1e-12:
-                best, at = f1, float(cut)
-        positive, negative = scores[(truth == j) & (scores[:, j] >= at), j], scores[(truth != j) & (scores[:, j] < at), j]
-        if len(positive) and len(negative):  # the middle of the gap that the cut opens
-            at = float((positive.min() + negative.max()) / 2)
-        cuts.append(at)
-    return model._replace(thresholds=np.array(cuts))
+    return model._replace(calibration=np.array([calibrated(scores[:, j], truth == j) for j in range(k)]))
+
+
+def calibrated(scores: np.ndarray, truth: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset that turn scores into log odds: logistic regression with smoothed targets, by Newton steps."""
+    n, hits = len(truth), int(truth.sum())
+    if not hits or hits == n:
+        return 1.0, 0.0
+    target = np.where(truth, (hits + 1) / (hits + 2), 1 / (n - hits + 2))
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * scores + b, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        grad = np.array([((p - target) * scores).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        hess = np.array([[(w * scores * scores).sum() + 1e-3, (w * scores).sum()], [(w * scores).sum(), w.sum() + 1e-9]])
+        step = np.linalg.solve(hess, grad)
+        size = min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        a, b = max(a - size * step[0], 1e-3), b - size * step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(a), float(b)
+
+
+def held_out(model: Classifier, sample: list[tuple[str, str]], seed: int = 29) -> dict[str, tuple[int, int, int]]:
+    """Per label, of pairs made defective anew: how many are, how many are found, how many both."""
+    out = {name: [0, 0, 0] for name in LABELS[:3]}
+    for answer, statement, note, diff, label in made_defective(sample, np.random.default_rng(seed)):
+        if label == 3:
+            continue
+        told = verdict(model, answer, note, diff, statement)
+        for j, name in enumerate(LABELS[:3]):
+            out[name][0] += label == j
+            out[name][1] += told == name
+            out[name][2] += label == j and told == name
+    return {name: tuple(n) for name, n in out.items()}
 
 
 def responses(attempts: DataFrame, solvers: DataFrame, items: DataFrame) -> DataFrame:
@@ -306,20 +363,24 @@ def responses(attempts: DataFrame, solvers: DataFrame, items: DataFrame) -> Data
     return answers.join(statements, "instance_id", "left")
 
 
-def sound_sample(pairs: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """A bounded sample of (statement, answer) with a diff and words on both sides, the least hashes of the attempts."""
-    ready = pairs.filter("has_diff and statement rlike '[A-Za-z]' and length(answer) > 40").select("statement", "answer", F.xxhash64("attempt_id").alias("h"), "attempt_id")
+def sound_sample(pairs: DataFrame, ready: int, size: int = SAMPLE) -> list[tuple[str, str]]:
+    """A bounded sample of (statement, answer) with a diff and words on both sides, the least hashes of the attempts; ``ready`` pairs are like that."""
+    found = pairs.filter(SOUND).select("statement", "answer", F.xxhash64("attempt_id").alias("h"), "attempt_id")
     # only about the wanted number passes the hash, so no task sends more than its part of it
-    share = min(1.0, 1.5 * size / max(1, ready.count()))
+    share = min(1.0, 1.5 * size / max(1, ready))
     below = F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 2**12)))
-    return [(r[0], r[1]) for r in ready.filter(below if share < 1 else F.lit(True)).orderBy("h", "attempt_id").limit(size).collect()]
+    return [(r[0], r[1]) for r in found.filter(below if share < 1 else F.lit(True)).orderBy("h", "attempt_id").limit(size).collect()]
+
+
+SOUND = "has_diff and statement rlike '[A-Za-z]' and length(answer) > 40"
 
 
 def defects(attempts: DataFrame, solvers: DataFrame, items: DataFrame) -> DataFrame:
     """(attempt_id, defect) of every defective pair."""
-    lost = truncation.cut_values(attempts, solvers).filter("field_name <> 'stderr_output'").select("attempt_id").distinct().withColumn("lost", F.lit(True))
+    lost = truncation.cut_values(attempts, solvers, ("model_patch", "raw_output")).select("attempt_id").distinct().withColumn("lost", F.lit(True))
     pairs = stow(responses(attempts, solvers, items), "pairs")
-    sample = sound_sample(pairs)
+    size = pairs.agg(F.count("*").alias("n"), F.count_if(F.expr(SOUND)).alias("ready")).first()  # one row
+    sample = sound_sample(pairs, size["ready"])
     model = train(sample) if sample else None
     given = pairs.sparkSession.sparkContext.broadcast(tuple(model) if model else None)  # one weight vector a label; a plain tuple, so executors need not have the class
 
@@ -331,7 +392,8 @@ def defects(attempts: DataFrame, solvers: DataFrame, items: DataFrame) -> DataFr
                 found.append((attempt, verdict(m, answer or "", note, bool(diff), statement)))
             yield pd.DataFrame([x for x in found if x[1]], columns=["attempt_id", "defect"])
 
-    judged = pairs.select("attempt_id", "answer", "note", "has_diff", "statement").mapInPandas(judge, "attempt_id string, defect string").groupBy("attempt_id").agg(F.min("defect").alias("defect"))
+    even = pairs.select("attempt_id", "answer", "note", "has_diff", "statement").repartition(max(1, -(-size["n"] // TASK)))  # files hold many pairs, and judging is the slow part
+    judged = even.mapInPandas(judge, "attempt_id string, defect string").groupBy("attempt_id").agg(F.min("defect").alias("defect"))
     return judged.join(lost, "attempt_id", "full_outer").select("attempt_id", F.when(F.col("lost"), F.lit("truncated")).otherwise(F.col("defect")).alias("defect"))
 
 
@@ -342,15 +404,8 @@ def verdict(model: Classifier | None, answer: str, note: str | None, has_diff: b
     if model is None:
         return None
     statement = statement if worded(statement) else None
-    grams, dense = features(answer, statement, note, has_diff)
-    margin = model.scores(grams, dense) - model.thresholds
-    for j in np.argsort(-margin[:3], kind="stable"):
-        if margin[j] < 0:
-            break
-        label = LABELS[j]
-        if label == "copy" and not (statement and (dense[3] or dense[5])):
-            continue
-        if label == "language" and not (statement and dense[6] >= FOREIGN):
-            continue
-        return label
-    return None
+    odds = model.log_odds(*features(answer, statement, note, has_diff))[:3]
+    if statement is None:  # nothing to copy, and no language to miss
+        odds[1:] = -np.inf
+    best = int(np.argmax(odds))
+    return LABELS[best] if odds[best] >= 0 else None

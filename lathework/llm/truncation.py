@@ -6,8 +6,8 @@ headers), prose and logs (fences, back-ticks, unfinished tracebacks). A note lef
 cut and a broken multibyte tail decide at once. A value that is structurally whole but
 ends without a terminator is compared with the baseline of its kind: how often the words it
 stops at end a sentence inside values that aren't cut and how often the text goes on after
-them (of its own solver and field where those tell enough, else of all), and the last lines
-that recur across values.
+them (of its own solver and field where those tell enough, else of all solvers), and the last
+lines that recur across values.
 
 Defined results: a null or blank value is whole; a ``model_patch`` that was never a diff
 is whole; repeated attempts give one row; extra columns are ignored.
@@ -20,7 +20,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,7 +36,7 @@ OWN_LINE_SHARE, OWN_LINE_COUNT = 0.02, 6
 GRAM = 4
 #: A phrase ends a value when it ends at least so many sentences, and this share of the places it stands at.
 PHRASE_COUNT, PHRASE_SHARE = 2, 0.5
-#: From so many places on, a solver's own field decides on a phrase, else all values do.
+#: From so many places on, a solver's own field decides on a phrase, else the field of all solvers.
 SOURCE_COUNT = 20
 #: Bits of the map of asked phrases that the counting pass gets; its size doesn't grow with the input.
 BITS = 1 << 23
@@ -55,6 +55,7 @@ _TICKED = re.compile(r"`[^`\n]*`")
 _PATH = re.compile(r"(?<![\w/])(?:[\w.-]+/)+[\w-]+\.[A-Za-z]{1,5}\b")
 _DIGITS = re.compile(r"\d+")
 _RAISED = re.compile(r"\b[A-Z]\w*(?:Error|Exception)\b")
+_FRAME = re.compile(r'\n\s+File "[^\n]*\n\s+[^\n]*$')
 _DOUBT = re.compile(r"(?:[\d/_]\S*|\S*[\d/_])\.$")
 
 
@@ -140,9 +141,7 @@ def examine(field: str, text: str | None, style: str | None = None) -> tuple[str
     whole, cut = ("whole", "", "", ""), lambda why: ("cut", why, "", "")
     if not text or not text.strip():
         return whole
-    if _NOTE.search(text[-120:]):
-        if field != "model_patch" or is_diff(text):
-            return cut("note")
+    if _NOTE.search("\n".join(text.rstrip().rsplit("\n", 2)[-2:])):
         return cut("note")
     if text[-1] == "�" or "\ud800" <= text[-1] <= "\udfff":
         return cut("multibyte")
@@ -162,7 +161,7 @@ def examine(field: str, text: str | None, style: str | None = None) -> tuple[str
     last = text.rsplit("\n", 1)[-1]
     if text.count("```") % 2:
         return cut("fence")
-    if field == "stderr_output" and (re.match(r'\s+File "', last) or last.startswith("Traceback") or re.search(r'\n\s+File "[^\n]*\n\s+[^\n]*$', text[-400:])):
+    if field == "stderr_output" and (re.match(r'\s+File "', last) or last.startswith("Traceback") or _FRAME.search("\n".join(["", *text.rsplit("\n", 2)[-2:]]))):
         return cut("traceback")
     line = last.strip()
     if line == "```":
@@ -177,7 +176,7 @@ def examine(field: str, text: str | None, style: str | None = None) -> tuple[str
 
 
 def phrase(sentence: str) -> str:
-    pieces = [p for p in _SENTENCE_END.split(masked(sentence)[-300:]) if p.strip()]
+    pieces = [p for p in _SENTENCE_END.split(masked(sentence)) if p.strip()]
     return " ".join(_WORD.findall(pieces[-1])[-GRAM:]).rstrip(".!?") if pieces else ""
 
 
@@ -199,13 +198,15 @@ def has_terminators(field: str, style: str | None) -> bool:
     return field == "stderr_output" or (field == "raw_output" and style != "jsonl")
 
 
+_COLUMNS = ["kind", "attempt_id", "solver_id", "field_name", "verdict", "reason", "tail", "last_line", "n"]
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["kind", "attempt_id", "solver_id", "field_name", "verdict", "reason", "tail", "last_line", "n"]
     ends: Counter = Counter()
     for pdf in batches:
         rows = []
         styles = pdf["output_format"].tolist()
-        for field in FIELDS:
+        for field in [f for f in FIELDS if f in pdf]:
             for attempt, solver, style, text in zip(pdf["attempt_id"], pdf["solver_id"], styles, pdf[field]):
                 if text is None:
                     continue
@@ -215,18 +216,18 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     ends[(solver, field, "")] += 1
                     if verdict == "ask":
                         ends[(solver, field, last)] += 1
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame(rows, columns=_COLUMNS)
         if len(ends) > FLUSH:
-            yield _ends_frame(ends, columns)
+            yield _ends_frame(ends)
             ends.clear()
-    yield _ends_frame(ends, columns)
+    yield _ends_frame(ends)
 
 
-def _ends_frame(ends: Counter, columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame([("end", None, s, f, None, None, None, p, n) for (s, f, p), n in ends.items()], columns=columns)
+def _ends_frame(ends: Counter) -> pd.DataFrame:
+    return pd.DataFrame([("end", None, s, f, None, None, None, p, n) for (s, f, p), n in ends.items()], columns=_COLUMNS)
 
 
-def phrase_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+def phrase_counts(texts: DataFrame, asked: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """solver_id, field_name, tail, n_end, n_on: the asked phrases in values that aren't cut.
 
     The pass knows the asked phrases by a bit map, so a few others are counted as well.
@@ -235,6 +236,7 @@ def phrase_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     for at in asked.select((F.crc32("tail") % BITS).alias("at")).distinct().toPandas()["at"]:
         bits[at >> 3] |= 1 << (at & 7)
     bits = bytes(bits)
+    read = [f for f in fields if f != "model_patch"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple, list[int]] = {}
@@ -245,7 +247,7 @@ def phrase_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
             return pd.DataFrame(rows, columns=["solver_id", "field_name", "tail", "n_end", "n_on"])
 
         for pdf in batches:
-            for field in ("raw_output", "stderr_output"):
+            for field in read:
                 for solver, style, text in zip(pdf["solver_id"], pdf["output_format"], pdf[field]):
                     if text is None or not has_terminators(field, style) or examine(field, text, style)[0] == "cut":
                         continue
@@ -257,26 +259,26 @@ def phrase_counts(texts: DataFrame, asked: DataFrame) -> DataFrame:
                 yield counted()
         yield counted()
 
-    found = texts.select("solver_id", "output_format", "raw_output", "stderr_output").mapInPandas(
+    found = texts.select("solver_id", "output_format", *read).mapInPandas(
         scan, "solver_id string, field_name string, tail string, n_end long, n_on long"
     )
     return settle(found.groupBy("solver_id", "field_name", "tail").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on")))
 
 
 def ending_phrases(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """The (solver_id, field_name, tail) of ``asked`` that end a value by what their own source, or all values, show."""
-    pooled = counts.groupBy("tail").agg(F.sum("n_end").alias("all_end"), F.sum("n_on").alias("all_on"))
+    """The (solver_id, field_name, tail) of ``asked`` that end a value by what their own source, or all values of the field, show."""
+    pooled = counts.groupBy("field_name", "tail").agg(F.sum("n_end").alias("all_end"), F.sum("n_on").alias("all_on"))
     own = counts.select(F.col("solver_id").alias("s"), F.col("field_name").alias("f"), F.col("tail").alias("t"), "n_end", "n_on")
-    told = asked.join(pooled, "tail").join(own, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("tail") == F.col("t")), "left")
+    told = asked.join(pooled, ["field_name", "tail"]).join(own, F.col("solver_id").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("tail") == F.col("t")), "left")
     enough = F.coalesce(F.col("n_end") + F.col("n_on") >= SOURCE_COUNT, F.lit(False))
     n_end, n_on = F.when(enough, F.col("n_end")).otherwise(F.col("all_end")), F.when(enough, F.col("n_on")).otherwise(F.col("all_on"))
     return told.filter((n_end >= PHRASE_COUNT) & (n_end >= PHRASE_SHARE * (n_end + n_on))).select("solver_id", "field_name", "tail")
 
 
-def examined(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
-    """One row per non-null value: attempt_id, solver_id, field_name, is_cut, reason."""
+def examined(attempts: DataFrame, solvers: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """One row per non-null value of ``fields``: attempt_id, solver_id, field_name, is_cut, reason."""
     style = solvers.groupBy("solver_id").agg(F.min("output_format").alias("output_format"))
-    texts = attempts.select("attempt_id", "solver_id", *FIELDS).join(style, "solver_id", "left").select("attempt_id", "solver_id", "output_format", *FIELDS)
+    texts = attempts.select("attempt_id", "solver_id", *fields).join(style, "solver_id", "left").select("attempt_id", "solver_id", "output_format", *fields)
     seen = settle(
         texts.mapInPandas(
             _scan,
@@ -286,7 +288,7 @@ def examined(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
     values = seen.filter("kind = 'value'")
     open_ = values.filter("verdict = 'ask'")
     asked = open_.select("solver_id", "field_name", "tail").distinct()
-    phrases = ending_phrases(asked, phrase_counts(texts, asked)).select(F.col("solver_id").alias("s"), F.col("field_name").alias("f"), F.col("tail").alias("t"), F.lit(True).alias("phrase_ends"))
+    phrases = ending_phrases(asked, phrase_counts(texts, asked, fields)).select(F.col("solver_id").alias("s"), F.col("field_name").alias("f"), F.col("tail").alias("t"), F.lit(True).alias("phrase_ends"))
     own = seen.filter("kind = 'end'").groupBy("solver_id", "field_name", "last_line").agg(F.sum("n").alias("n"))
     ends = own.groupBy("field_name", "last_line").agg(F.sum("n").alias("n"))
     total = ends.filter("last_line = ''").select("field_name", F.col("n").alias("of"))
@@ -311,8 +313,8 @@ def examined(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
     return sure.unionByName(answered)
 
 
-def cut_values(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
-    return examined(attempts, solvers).filter("is_cut").select("attempt_id", "field_name").distinct()
+def cut_values(attempts: DataFrame, solvers: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    return examined(attempts, solvers, fields).filter("is_cut").select("attempt_id", "field_name").distinct()
 
 
 def cut_shares(attempts: DataFrame, solvers: DataFrame) -> DataFrame:
