@@ -55,7 +55,8 @@ LANGUAGES = 8
 #: Labelled documents that the model of mentions is fitted on, at most (the least hashes of their ids).
 SAMPLE = 8_000
 CONTEXT_BITS = 16
-EPOCHS = 4
+#: Passes over the sentences, and gradient steps at least.
+EPOCHS, STEPS = 4, 400
 #: Words of more weight than this are what a sentence is about; the model of mentions doesn't see which.
 TOPICAL = 1.0
 CHUNK = 256
@@ -297,7 +298,7 @@ def fit_mentions(sentences: list[np.ndarray], off: np.ndarray, seed: int = 5, ba
     gw, gb = np.full(len(weights), 1e-2), 1e-2
     sizes = np.array([len(x) for x in sentences])
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * batch // len(sentences)))):
         order = rng.permutation(len(sentences))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
