@@ -58,7 +58,9 @@ FUNCTION_WORDS = {
     "es": "el la los las de que y en un una es no se por con para del al lo como pero su sus ya sin cuando está esta este fue son más también después antes he ha hay nunca desde solo todavía aún",
     "fr": "le la les de des du et est un une que qui dans pour pas ne au aux ce cette il elle sur avec par plus ou mais sont été sans quand n'est ai j'ai nous avons cela depuis mais voir aussi à après était",
 }
-_KNOWN = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+_SHARED = Counter(w for words in FUNCTION_WORDS.values() for w in set(words.split()))
+#: A word of several languages speaks for each of them by its part.
+_KNOWN = {lang: {w: 1 / _SHARED[w] for w in words.split()} for lang, words in FUNCTION_WORDS.items()}
 LANGUAGES = tuple(FUNCTION_WORDS)
 _LETTERS = {"de": "äöüß", "es": "ñ¿¡áíóú", "fr": "çèêàùîôœ"}
 
@@ -113,7 +115,7 @@ def leaning(text: str) -> dict[str, float]:
     """How strongly the prose of a text leans to each language (0 to 1, all 0 where nothing tells)."""
     prose = _QUOTED.sub(" ", "\n".join(x for x in text.split("\n") if not _MACHINE.match(x.lstrip("> "))))
     words = [w.lower().replace("’", "'") for w in _TOKEN.findall(prose)]
-    found = {lang: float(sum(w in known for w in words)) for lang, known in _KNOWN.items()}
+    found = {lang: sum(known.get(w, 0.0) for w in words) for lang, known in _KNOWN.items()}
     lower = prose.lower()
     for lang, letters in _LETTERS.items():
         found[lang] += 0.5 * sum(lower.count(c) for c in letters)
@@ -250,10 +252,10 @@ def made_defective(sample: list[tuple[str, str]], rng: np.random.Generator) -> l
         if roll < 0.25:  # given back
             lines = [p for p in _PIECE.split(statement) if p.strip()]
             rng.shuffle(lines)
-            way = int(rng.integers(7))
+            way = int(rng.integers(8))
             copy = (
                 statement, "> " + statement.replace("\n", "\n> "), statement.upper(), " ".join(lines), "\n".join("> " + x for x in lines),
-                OPENINGS[int(rng.integers(len(OPENINGS)))] + " " + statement, " ".join(lines[: max(1, len(lines) - 1)]),
+                OPENINGS[int(rng.integers(len(OPENINGS)))] + " " + statement, " ".join(lines[: max(1, len(lines) - 1)]), " ".join(lines[: max(1, len(lines) // 2)]),
             )[way]
             if rng.random() < 0.3:
                 out.append(("", statement, copy, False, 1))
