@@ -6,8 +6,9 @@ same unit of k become one centroid, so clusters are narrow at both tails. Digest
 partitions, days or solvers merge by putting their centroids together and clustering again.
 
 ``digests`` makes one digest per key of what each task holds and merges them by key, so a
-hot key is condensed before the shuffle. ``certify`` counts, in a second pass over the data,
-how many values lie below and at each estimate: the certified rank error is the distance of
+hot key is condensed before the shuffle, and the merging task clusters as it reads.
+``certify`` counts, in a second pass over the data, how many values lie below and at each
+estimate: the certified rank error is the distance of
 the asked quantile from the ranks that the estimate really holds.
 
 Defined results: null and NaN values are left out; infinities take part as extremes; a key
@@ -21,12 +22,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lathework.runtime import bounded, settle
+
 DELTA = 200.0
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 FLUSH_ROWS = 400_000
+#: Digests of one key that a merging task holds before it clusters them.
+HELD = 1_024
+#: Keys whose cut points (a few hundred bytes each) are broadcast; those of more keys are joined.
+FEW_KEYS = 50_000
 
 DIGEST_TYPE = "metric string, n double, low double, high double, means array<double>, weights array<double>"
 
@@ -133,32 +140,47 @@ def digests(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], delta: f
 def merge(parts: DataFrame, keys: Sequence[str], delta: float = DELTA) -> DataFrame:
     """Merge digests that agree in ``keys`` (and metric); other columns are dropped.
 
-    The centroid lists of a key are gathered as arrays; a digest has at most ``delta``
-    centroids, so a key holds at most that many for each part.
+    The digests of a key follow each other in one task, which clusters them again as they
+    come, so it never holds more than one batch and ``HELD`` digests, however many there are.
     """
     keys = list(keys)
+    named = [*keys, "metric"]
+
+    def condensed(pdf: pd.DataFrame, code: np.ndarray) -> pd.DataFrame:
+        """One row a code; ``code`` counts up from 0."""
+        sizes = pdf["means"].map(len).to_numpy()
+        c, m, w = cluster(np.repeat(code, sizes), np.concatenate(pdf["means"].tolist()), np.concatenate(pdf["weights"].tolist()), delta)
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        out = pdf[named].iloc[starts].reset_index(drop=True)
+        out["n"] = np.add.reduceat(pdf["n"].to_numpy(dtype=float), starts)
+        out["low"], out["high"] = np.minimum.reduceat(pdf["low"].to_numpy(), starts), np.maximum.reduceat(pdf["high"].to_numpy(), starts)
+        heads = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        ends = np.r_[heads[1:], len(c)]
+        out["means"], out["weights"] = [m[a:b] for a, b in zip(heads, ends)], [w[a:b] for a, b in zip(heads, ends)]
+        return out
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: pd.DataFrame | None = None
         for pdf in batches:
             if not len(pdf):
                 continue
-            sizes = [sum(len(x) for x in lists) for lists in pdf["means"]]
-            code = np.repeat(np.arange(len(pdf)), sizes)
-            mean = np.concatenate([np.asarray(x, dtype=float) for lists in pdf["means"] for x in lists])
-            weight = np.concatenate([np.asarray(x, dtype=float) for lists in pdf["weights"] for x in lists])
-            c, m, w = cluster(code, mean, weight, delta)
-            heads = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            ends = np.r_[heads[1:], len(c)]
-            out = pdf[[*keys, "metric", "n", "low", "high"]].iloc[c[heads]].reset_index(drop=True)
-            out["means"] = [m[a:b] for a, b in zip(heads, ends)]
-            out["weights"] = [w[a:b] for a, b in zip(heads, ends)]
-            yield out
-
-    gathered = parts.groupBy(*keys, "metric").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.collect_list("means").alias("means"), F.collect_list("weights").alias("weights"),
-    )
-    return gathered.mapInPandas(again, f"{_key_schema(parts, keys)}, {DIGEST_TYPE}")
+            pdf = pdf if open_ is None else pd.concat([open_, pdf], ignore_index=True)
+            new = np.zeros(len(pdf), dtype=bool)
+            for k in named:
+                v, null = pdf[k].to_numpy(dtype=object), pdf[k].isna().to_numpy()
+                new[1:] |= (null[1:] != null[:-1]) | (~null[1:] & ~null[:-1] & (v[1:] != v[:-1]))
+            code = np.cumsum(new)
+            last = code == code[-1]
+            if (~last).any():
+                yield condensed(pdf[~last], code[~last])
+            open_ = pdf[last].reset_index(drop=True)
+            if len(open_) > HELD:
+                open_ = condensed(open_, np.zeros(len(open_), dtype=int))
+        if open_ is not None:
+            yield condensed(open_, np.zeros(len(open_), dtype=int))
+
+    together = parts.select(*named, "n", "low", "high", "means", "weights").repartition(*named).sortWithinPartitions(*named)
+    return together.mapInPandas(again, f"{_key_schema(parts, keys)}, {DIGEST_TYPE}")
 
 
 def quantiles(found: DataFrame, keys: Sequence[str], asked: Sequence[float] = QUANTILES) -> DataFrame:
@@ -179,43 +201,52 @@ def quantiles(found: DataFrame, keys: Sequence[str], asked: Sequence[float] = QU
     return found.mapInPandas(read, f"{_key_schema(found, keys)}, metric string, n long, quantile double, estimate double")
 
 
-def certify(df: DataFrame, estimates: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Add the certified rank error: a counting pass of all values against the estimates.
+def certify(df: DataFrame, levels: Sequence[tuple[DataFrame, Sequence[str]]], metrics: Sequence[str]) -> list[DataFrame]:
+    """Add the certified rank error to the estimates of each level: one counting pass of all values against all of them.
 
-    Every key's estimates travel as one array of cut points a metric; each value adds one to
-    the slot between the cuts it falls into, so the pass aggregates before it shuffles.
+    A level is its estimates and their keys; the first has the finest keys, of which those of
+    the others are parts. Every key's estimates travel as one array of cut points a metric and
+    level; each value adds one to the slot between the cuts it falls into, so the pass
+    aggregates before it shuffles. The cuts are broadcast where they are few.
     """
-    keys, metrics = list(keys), list(metrics)
-    cuts = estimates.groupBy(*keys).agg(
-        *[F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("metric") == m, F.col("estimate"))))).alias(f"cuts_{m}") for m in metrics]
-    )
-    joined = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).alias("d")
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    joined = joined.join(cuts.alias("c"), same).select(*[F.col(f"d.{k}").alias(k) for k in keys], *metrics, *[f"cuts_{m}" for m in metrics])
-
-    def slot(m: str):
-        passed = F.aggregate(f"cuts_{m}", F.lit(0), lambda a, c: a + F.when(F.col(m) > c, 2).when(F.col(m) == c, 1).otherwise(0))
-        return F.when(F.col(m).isNotNull() & ~F.isnan(m), passed).alias(f"slot_{m}")
-
-    slots = [slot(m) for m in metrics]
-    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"slot_{m}").alias("slot")) for m in metrics]))
-    counted = (
-        joined.select(*keys, *slots).select(*keys, long.alias("s")).select(*keys, "s.metric", "s.slot").filter("slot is not null")
-        .groupBy(*keys, "metric", "slot").agg(F.count("*").alias("rows"))
-        .groupBy(*keys, "metric").agg(F.collect_list(F.struct("slot", "rows")).alias("slots"))
+    metrics, finest = list(metrics), list(levels[0][1])
+
+    def same(left: str, right: str, keys: Sequence[str]) -> list[Column]:
+        return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+
+    cuts = None
+    for i, (estimates, keys) in enumerate(levels):
+        own = estimates.groupBy(*keys).agg(*[F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("metric") == m, F.col("estimate"))))).alias(f"cuts_{i}_{m}") for m in metrics])  # a few quantiles a key
+        if cuts is None:
+            cuts = own
+        else:
+            cuts = cuts.alias("a").join(own.alias("b"), same("a", "b", keys), "left").select("a.*", *[f"b.cuts_{i}_{m}" for m in metrics])
+    cuts = bounded(settle(cuts), FEW_KEYS)
+    rows = df.select(*finest, *[F.col(m).cast("double").alias(m) for m in metrics]).alias("d").join(cuts.alias("c"), same("d", "c", finest))
+
+    def slot(i: int, m: str) -> Column:
+        passed = F.aggregate(f"cuts_{i}_{m}", F.lit(0), lambda a, c: a + F.when(F.col(m) > c, 2).when(F.col(m) == c, 1).otherwise(0))
+        return F.struct(F.lit(i).alias("level"), F.lit(m).alias("metric"), F.when(F.col(m).isNotNull() & ~F.isnan(m), passed).alias("slot"))
+
+    each = F.explode(F.array(*[slot(i, m) for i in range(len(levels)) for m in metrics])).alias("s")
+    counted = settle(
+        rows.select(*[F.col(f"d.{k}").alias(k) for k in finest], each).select(*finest, "s.*").filter("slot is not null")
+        .groupBy(*finest, "level", "metric", "slot").agg(F.count("*").alias("rows"))
     )
-    ranked = estimates.groupBy(*keys, "metric").agg(F.array_sort(F.array_distinct(F.collect_list("estimate"))).alias("cuts"))
-    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"x.{k}")) for k in [*keys, "metric"]]
-    both = counted.alias("x").join(ranked.alias("e"), same).select(*[F.col(f"e.{k}").alias(k) for k in [*keys, "metric"]], "slots", "cuts")
-    asked = estimates.alias("q").join(both.alias("b"), [F.col(f"q.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "metric"]])
     at = F.array_position("cuts", F.col("estimate")).cast("int")
     below = F.aggregate("slots", F.lit(0).cast("long"), lambda a, s: a + F.when(s["slot"] < 2 * at - 1, s["rows"]).otherwise(0))
     upto = F.aggregate("slots", F.lit(0).cast("long"), lambda a, s: a + F.when(s["slot"] < 2 * at, s["rows"]).otherwise(0))
-    return (
-        asked.withColumn("below", below).withColumn("upto", upto)
-        .select(*[F.col(f"q.{k}").alias(k) for k in keys], F.col("q.metric").alias("metric"), "n", "quantile", "estimate", "below", "upto")
-        .withColumn("rank_error", F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("quantile"), F.col("quantile") - F.col("upto") / F.col("n")))
-    )
+    out = []
+    for i, (estimates, keys) in enumerate(levels):
+        named = [*keys, "metric"]
+        slots = counted.filter(F.col("level") == i).groupBy(*named, "slot").agg(F.sum("rows").alias("rows")).groupBy(*named).agg(F.collect_list(F.struct("slot", "rows")).alias("slots"))  # two more than twice the quantiles
+        told = estimates.groupBy(*named).agg(F.collect_list(F.struct("n", "quantile", "estimate")).alias("asked"), F.array_sort(F.array_distinct(F.collect_list("estimate"))).alias("cuts"))
+        both = told.alias("e").join(slots.alias("x"), same("e", "x", named)).select("e.*", "slots").select(*named, "cuts", "slots", F.explode("asked").alias("q")).select(*named, "cuts", "slots", "q.*")
+        out.append(
+            both.withColumn("below", below).withColumn("upto", upto).select(*named, "n", "quantile", "estimate", "below", "upto")
+            .withColumn("rank_error", F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("quantile"), F.col("quantile") - F.col("upto") / F.col("n")))
+        )
+    return out
 
 
 def rank_bound(quantile: str = "quantile", n: str = "n", delta: float = DELTA, merges: int = 2):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.llm import digests, mixing, nonsource, packing, pairs, secrets, splits, subjects, truncation
-from lathework.runtime import settle, table
+from lathework.runtime import settle, stow, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,14 +56,15 @@ def _attempt_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Per solver, provider and day, and (day null) of the whole period merged from the days."""
-    data = settle(_attempt_metrics(spark, sf))
+    """Per solver, provider and day (scope ``day``), and of the whole period merged from the days (scope ``period``, without day)."""
+    data = stow(_attempt_metrics(spark, sf), "metrics")
     keys = ["solver_id", "provider"]
     days = settle(digests.digests(data, [*keys, "day"], METRICS))
-    by_day = digests.certify(data, digests.quantiles(days, [*keys, "day"]), [*keys, "day"], METRICS)
-    period = digests.certify(data, digests.quantiles(digests.merge(days, keys), keys), keys, METRICS)
-    both = by_day.unionByName(period.withColumn("day", F.lit(None).cast("date")))
-    return both.withColumn("rank_bound", digests.rank_bound())
+    by_day, period = settle(digests.quantiles(days, [*keys, "day"])), settle(digests.quantiles(digests.merge(days, keys), keys))
+    day_rows, period_rows = digests.certify(data, [(by_day, [*keys, "day"]), (period, keys)], METRICS)
+    one = day_rows.withColumn("scope", F.lit("day")).withColumn("rank_bound", digests.rank_bound(merges=2))
+    all_ = period_rows.withColumn("scope", F.lit("period")).withColumn("day", F.lit(None).cast("date")).withColumn("rank_bound", digests.rank_bound(merges=3))
+    return one.unionByName(all_)
 
 
 @query
