@@ -48,6 +48,26 @@ def test_subsets():
         assert abs(sum(k * n for k, n in got.items()) - target) == min(abs(x - target) for x in sums)
 
 
+def test_subsets_on_a_grid():
+    rng = random.Random(2)
+    for cells in (64, 1000):
+        sizes = {rng.randint(1, 5000): rng.randint(1, 9) for _ in range(60)} | {1: 40, 2: 30, 17: 20, 90: 10}
+        total = sum(k * n for k, n in sizes.items())
+        got = s.nearest_subset(sizes, total // 3, cells)
+        assert all(0 < got[k] <= sizes[k] for k in got)
+        assert abs(sum(k * n for k, n in got.items()) - total // 3) <= 1
+
+
+def test_a_hot_value_is_met_in_buckets(spark):
+    rows = [(i, "hot", None, None, 0, 0) for i in range(3000)]
+    edges = s.star_edges(spark.createDataFrame(rows, SCHEMA), "row_id", TIES).collect()
+    ends = {}
+    for r in edges:
+        ends[r["v"]] = ends.get(r["v"], 0) + 1
+    assert len(edges) == 2999 and max(ends.values()) < 200
+    assert {r["group_id"] for r in s.groups(spark.createDataFrame(rows, SCHEMA), "row_id", TIES).collect()} == {0}
+
+
 def test_splits_keep_groups_and_shares(spark):
     rng = random.Random(3)
     rows = [(i, f"i{rng.randint(0, 150)}", None, None, 0, 0) for i in range(1000)]
