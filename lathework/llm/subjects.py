@@ -457,10 +457,14 @@ def assigned(rows: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             w = unpacked(batch, m.slot_of)
             top, speaks = spoken(w, m)
-            if np.isfinite(m.bias) and len(w.doc):
-                speaks &= mention_scores(*context(w, m.weights), len(w.of), m.context, m.bias) <= 0
             votes = np.zeros((w.n_docs, n))
             np.add.at(votes, (w.of[speaks], top[speaks]), 1)
+            mixed = (votes > 0).sum(1) > 1
+            if np.isfinite(m.bias) and mixed.any():  # a mention can only matter where sentences disagree
+                asked = mixed[w.doc]
+                words = Words(w.doc[asked], w.sentence[asked], w.slot[asked], w.of, w.n_docs)
+                mention = speaks & mixed[w.of] & (mention_scores(*context(words, m.weights), len(w.of), m.context, m.bias) > 0)
+                np.add.at(votes, (w.of[mention], top[mention]), -1)
             at = places(w, m.weights, m.axes)
             score = votes + 1e-3 * best_of(at @ m.centroids.T.astype(np.float32), m.of, n)
             known = np.linalg.norm(at, axis=1) > 0
