@@ -593,9 +593,9 @@ def budget_stream(spark: SparkSession, sf: str) -> DataFrame:
 # --- nested records as flat tables -------------------------------------------------------
 
 
-def _nested(spark: SparkSession, sf: str) -> DataFrame:
-    runs = nested.occurrences(table(spark, sf, "attempts"), "attempt_id", ["usage", "metadata"])
-    return runs.unionByName(nested.occurrences(table(spark, sf, "task_features"), "instance_id", ["features"]))
+def _nested(spark: SparkSession, sf: str, kinds: tuple[str, ...] | None = None, once: bool = False) -> DataFrame:
+    runs = nested.occurrences(table(spark, sf, "attempts"), "attempt_id", ["usage", "metadata"], kinds=kinds, once=once)
+    return runs.unionByName(nested.occurrences(table(spark, sf, "task_features"), "instance_id", ["features"], kinds=kinds, once=once))
 
 
 _PATHS = r"""
@@ -623,7 +623,7 @@ def p3_bridge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p3_objects(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.objects(_nested(spark, sf))
+    return nested.objects(_nested(spark, sf, once=True))
 
 
 KINDS = {
@@ -653,7 +653,7 @@ ROOTS = {
 
 
 def _kind(kind: str, columns: dict[str, str], field: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: nested.of_kind(_nested(spark, sf), kind, columns, field)
+    return lambda spark, sf: nested.of_kind(_nested(spark, sf, (kind,)), kind, columns, field)
 
 
 QUERIES |= {f"p3_{kind}": _kind(kind, columns) for kind, columns in KINDS.items()}
@@ -663,4 +663,4 @@ QUERIES |= {f"p3_{field}": _kind("", columns, field) for field, columns in ROOTS
 @query
 def p3_flags(spark: SparkSession, sf: str) -> DataFrame:
     """The command-line flags of ``args``, the one array of scalars."""
-    return nested.values_of(_nested(spark, sf), "args", "flags")
+    return nested.values_of(_nested(spark, sf, ("args",)), "args", "flags")

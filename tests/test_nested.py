@@ -113,3 +113,37 @@ def test_every_object_and_scalar_of_the_tables_has_its_flat_row(spark):
                 assert flags[r["object_id"]] == dict(enumerate(value))
             elif value is not None and not isinstance(value, (dict, list)):
                 assert scalars[r["object_id"], r["kind"] or r["field_name"]][key] == value, (r["kind"], key)
+
+
+def test_any_depth():
+    deep = '{"a":' * 3000 + '{"turns":[{"x":1}]}' + "}" * 3000
+    rows = nested.object_rows(deep)
+    assert len(rows) == 3002 and rows[-1][4] and rows[-1][0].endswith("a.turns[0]")
+    assert nested.object_rows("[" * 3000 + '{"x":1}' + "]" * 3000)[0][:2] == ("[0]" * 3000, None)
+    assert nested.object_rows("[" * 5000) == [] and nested.object_rows('{"a":' * 5000 + "}" * 5000) == []
+    quoted = '{"x": 1}'
+    for _ in range(6):
+        quoted = json.dumps(quoted)
+    assert len(nested.object_rows(quoted)) == 1
+
+
+def test_deep_parser_agrees_with_the_usual_one():
+    rng = random.Random(9)
+    for text in texts(60, 4) + ['[1, -2.5e3, "a\\"b\\u00e9", true, false, null, {}, []]', " {} ", '"x"', "12"]:
+        assert nested._parse_deep(text) == json.loads(text)
+        cut = text[: rng.randrange(len(text))]
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            want = ValueError
+        try:
+            got = nested._parse_deep(cut)
+        except ValueError:
+            got = ValueError
+        assert got == want, cut
+
+
+def test_objects_once_a_task_are_the_same(spark):
+    df = spark.createDataFrame([(f"o{i}", t) for i, t in enumerate(texts(50))], "o string, f string").repartition(3)
+    every, once = (sorted(map(tuple, nested.objects(nested.occurrences(df, "o", ["f"], once=x)).collect())) for x in (False, True))
+    assert every == once and all(r[1] for r in once)
