@@ -68,8 +68,46 @@ def unsafe_paths(diff: Column | str) -> Column:
 
 
 def fenced_patch(answer: Column | str) -> Column:
-    """A diff out of free text: a fenced block, else the text from its first file header."""
+    """A diff out of free text: a fenced block, else the text from its first file header to a fence's end."""
     t = F.coalesce(_col(answer), F.lit(""))
-    fence = F.regexp_extract(t, r"(?s)```(?:diff|patch)?[ \t]*\n(diff --git .*?)```", 1)
-    bare = F.regexp_extract(t, r"(?s)(?:^|\n)(diff --git .*)$", 1)
-    return F.coalesce(F.nullif(fence, F.lit("")), F.nullif(bare, F.lit("")))
+    fence = F.regexp_extract(t, r"(?si)```(?:diff|patch)\r?\n(.*?)```", 1)
+    fenced = F.when(fence.contains("diff --git"), F.regexp_replace(fence, r"^\s+|\s+$", ""))
+    bare = F.regexp_replace(F.regexp_extract(t, r"(?s)(?:^|\n)(diff --git.*)$", 1), r"(?s)\n[ \t]*```[ \t]*(?:\n.*)?$", "")
+    whole = F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_replace(bare, r"^\n+|\n+$", ""), F.lit("")))
+    return F.concat(whole, F.lit("\n"))
+
+
+def patch_of_output(raw: Column | str, answers: Column) -> Column:
+    """A diff out of an output: of its text, else of the first of its JSON ``answers`` that holds one."""
+    inner = F.filter(F.transform(answers, fenced_patch), lambda x: x.isNotNull())
+    return F.coalesce(F.when(~F.ltrim(F.coalesce(_col(raw), F.lit(""))).startswith("{"), fenced_patch(raw)), F.try_element_at(inner, F.lit(1)), F.lit(""))
+
+
+def edits(v: Column) -> Column:
+    """array<struct<path, content>> of an edit plan in VARIANT: its ``files`` as list or map, and its ``edits``."""
+    rows = lambda path: F.coalesce(F.try_variant_get(v, path, "array<struct<path:string,content:string>>"), F.array().cast("array<struct<path:string,content:string>>"))
+    by_path = F.transform(F.map_entries(F.coalesce(F.try_variant_get(v, "$.files", "map<string,string>"), F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("content")))
+    return F.transform(F.filter(F.concat(rows("$.files"), by_path, rows("$.edits")), lambda e: e["path"].isNotNull()), lambda e: F.struct(e["path"].alias("path"), F.coalesce(e["content"], F.lit("")).alias("content")))
+
+
+def formatting_only(diff: Column | str) -> Column:
+    """A diff of 80 changed lines at most, none of which holds a keyword or a run of three word characters."""
+    changed = F.transform(F.filter(F.split(F.coalesce(_col(diff), F.lit("")), "\n"), lambda x: x.rlike(r"^[+-].") & ~x.startswith("+++") & ~x.startswith("---")), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x))))
+    says = lambda x: x.rlike(r"\b(?:def|class|return|assert|if|for|while|with|except|raise|import|from) ") | x.rlike("[A-Za-z0-9_]{3,}")
+    return (F.size(changed) > 0) & (F.size(changed) <= 80) & F.forall(changed, lambda x: ~says(x))
+
+
+def targeted_tests(diff: Column | str) -> Column:
+    """The test files that a diff changes; the whole folder where it changes only what tests lean on."""
+    p = paths(diff)
+    base = lambda x: F.substring_index(F.lower(x), "/", -1)
+    supports = lambda x: F.lower(x).rlike(r"^tests/") & F.lower(x).rlike(r"conftest\.py$|pytest\.ini$|tox\.ini$|fixtures|testdata$")
+    tests = lambda x: F.lower(x).endswith(".py") & (F.lower(x).rlike("^(?:tests?|spec|testsuites)/") | base(x).rlike(r"^test_|_test\.py$|_test_|spec"))
+    found = F.filter(p, lambda x: tests(x) & ~supports(x))
+    return F.when(F.size(found) > 0, found).when(F.exists(p, supports), F.array(F.lit("tests"))).otherwise(F.array().cast("array<string>"))
+
+
+def immutable_paths(declared: Column, test_patch: Column | str) -> Column:
+    """The declared paths, else those of the test patch."""
+    said = F.filter(F.transform(declared, F.trim), lambda x: x != "")
+    return F.when(declared.isNotNull(), said).otherwise(paths(test_patch))

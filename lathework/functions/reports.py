@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARSERS: dict[str, Callable[[str], dict[str, str]]] = {}
@@ -23,26 +24,74 @@ def register(name: str):
     return add
 
 
-@register("junit")
-def junit(report: str) -> dict[str, str]:
-    """test id -> outcome; skip before error before failure before pass, the last of an id counts; a broken report gives none."""
+def _file(path: str) -> str:
+    path = path.replace("\\", "/")
+    at = path.rfind("/tests/")
+    return path[at + 1 :] if at >= 0 else path
+
+
+def test_id(group: str, name: str, file: str = "", style: str = "pytest") -> str:
+    """The id of a case in the style of the tool that wrote the report."""
+    group, file = group.replace("\\", "/"), _file(file)
+    if style != "pytest":
+        return f"{group}::{name}" if group else f"{file}::{name}" if file and style == "js" else name
+    if not group:
+        return f"{file}::{name}" if file else name
+    parts = group.split(".")
+    upper = next((i for i, p in enumerate(parts) if p[:1].isupper()), len(parts))
+    module = "/".join(parts[:upper]) + ".py" if upper else ""
+    return "::".join(x for x in (module, ".".join(parts[upper:]), name) if x)
+
+
+def _cases(report: str, style: str) -> dict[str, str]:
     try:
-        root = ET.fromstring(report)
+        root = ET.fromstring(report.strip())
     except ET.ParseError:
         return {}
     out: dict[str, str] = {}
-    for case in root.iter("testcase"):
-        name, group = case.get("name") or "", case.get("classname") or ""
-        parts = group.split(".") if group else []
-        upper = next((i for i, p in enumerate(parts) if p[:1].isupper()), len(parts))
-        file = "/".join(parts[:upper]) + ".py" if upper else ""
-        test = "::".join(x for x in [file, *parts[upper:], name] if x)
-        skipped, error, failure = (case.find(x) for x in ("skipped", "error", "failure"))
-        note = (skipped.get("type") or "") + (skipped.get("message") or "") if skipped is not None else ""
-        out[test] = ("xfail" if "xfail" in note else "skip") if skipped is not None else "error" if error is not None else "fail" if failure is not None else "pass"
+    for suite in root.iter("testsuite"):
+        for case in suite.findall("testcase"):
+            if not (name := (case.get("name") or "").strip()):
+                continue
+            held = {child.tag for child in case}
+            outcome = "skip" if held & {"skipped", "xpass", "xfail"} else "error" if "error" in held else "fail" if "failure" in held else "pass"
+            out[test_id((case.get("classname") or "").strip(), name, (case.get("file") or "").strip(), style)] = outcome
+    return out
+
+
+for _style, _name in (("pytest", "junit"), ("js", "junit-js"), ("java", "junit-java")):
+    #: test id -> outcome; skip before error before failure before pass, the last of an id counts; a broken report gives none.
+    register(_name)(lambda report, style=_style: _cases(report, style))
+
+
+@register("go")
+def go(report: str) -> dict[str, str]:
+    """Lines of ``go test -json``; the last pass, fail or skip of a test counts."""
+    out = {}
+    for line in report.splitlines():
+        try:
+            event = json.loads(line)
+        except ValueError:
+            continue
+        if isinstance(event, dict) and event.get("Test") and event.get("Action") in ("pass", "fail", "skip"):
+            out["::".join(x for x in (event.get("Package"), event["Test"]) if x)] = event["Action"]
     return out
 
 
+# Keys under which a payload may hold its report.
+PAYLOAD_KEYS = ("junit_xml", "output", "log", "stdout")
+
+
+def payload(v: Column) -> Column:
+    """The report in a payload: the text itself, else under the first of ``PAYLOAD_KEYS``."""
+    return F.coalesce(*[F.try_variant_get(v, p, "string") for p in ("$", *(f"$.{k}" for k in PAYLOAD_KEYS))])
+
+
+def merged(outcomes: DataFrame, id_column: str, order: str) -> DataFrame:
+    """One outcome a test over several reports: that of the last report in ``order``."""
+    return outcomes.groupBy(id_column, "test_id").agg(F.max_by("outcome", order).alias("outcome"))
+
+
 @register("cargo")
 def cargo(report: str) -> dict[str, str]:
     """Lines of the runner; the crate named last carries forward."""

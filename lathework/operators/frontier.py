@@ -40,3 +40,8 @@ def pareto(summary: DataFrame) -> DataFrame:
         & ((o["rate"] > F.col("rate")) | (o["cost"] < F.col("cost")) | (o["latency"] < F.col("latency")))
     )
     return points.join(F.broadcast(packed)).filter(~F.exists("all", beats)).select("solver_id", "rate", F.nullif("cost", F.lit(float("inf"))).alias("cost"), F.nullif("latency", F.lit(float("inf"))).alias("latency"))
+
+
+def cost_key():
+    """Cheapest first: cost, rate, latency, name."""
+    return F.struct(_far("cost_per_resolved"), -F.col("raw_resolution_rate"), _far("latency_ms_per_resolved"), F.col("solver_id"))

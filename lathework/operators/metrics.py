@@ -79,6 +79,34 @@ def group_summary(joined: DataFrame, dims: Sequence[str] = ("solver_id",), dear_
     )
 
 
+def attempt_summary(joined: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Percentiles of duration, tool calls and per-attempt averages of each group; attempts without instance count only as attempts."""
+    real = F.coalesce(F.col("instance_id") != "", F.lit(False))
+    one = joined.groupBy(*dims, "instance_id").agg(
+        F.count("*").alias("attempts"), F.max("resolved").alias("resolved"), F.sum(F.greatest(F.coalesce("tool_calls", F.lit(0)), F.lit(0))).alias("calls"), F.sum("total_tokens").alias("tokens"))
+    level = one.groupBy(*dims).agg(
+        F.sum("attempts").alias("attempt_count"), F.count_if(real & F.col("resolved")).alias("resolved_instance_count"),
+        F.coalesce(F.sum(F.when(real, F.col("calls"))), F.lit(0)).alias("tool_calls"), F.coalesce(F.sum(F.when(real, F.col("tokens"))), F.lit(0)).alias("tokens"))
+    spent = joined.filter(real).select(*dims, F.greatest(F.coalesce("duration_ms", F.lit(0)), F.lit(0)).alias("duration_ms"))
+    both = level.alias("a").join(percentiles(spent, dims, "duration_ms", {"p50_duration_ms": 50.0, "p95_duration_ms": 95.0}).alias("b"), [F.col(f"a.{d}").eqNullSafe(F.col(f"b.{d}")) for d in dims], "left")
+    n, won = F.col("attempt_count"), F.col("resolved_instance_count")
+    return both.select(
+        *[F.col(f"a.{d}").alias(d) for d in dims], "attempt_count", "resolved_instance_count", "p50_duration_ms", "p95_duration_ms", "tool_calls",
+        ratio(F.col("tokens"), n).alias("average_tokens"), ratio(F.col("tool_calls"), n).alias("average_tool_calls"), ratio(F.col("tokens"), won).alias("tokens_per_resolved"), ratio(F.col("tool_calls"), won).alias("tool_calls_per_resolved"))
+
+
+def group_value(rows: DataFrame, field: str, metadata: str) -> Column:
+    """A group's key: the column of that name, else that key of the metadata (a VARIANT), else ``unknown``; a null is the empty text."""
+    if field in rows.columns:
+        return F.coalesce(F.col(field).cast("string"), F.lit(""))
+    inside = F.try_variant_get(metadata, f"$.{field}", "variant")
+    return F.when(inside.isNull(), "unknown").otherwise(F.coalesce(F.try_variant_get(inside, "$", "string"), F.lit("")))
+
+
+def group_json(dims: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*dims))
+
+
 def top_line(joined: DataFrame) -> DataFrame:
     """One row over everything; distinct counts come from the per-instance level."""
     one = per_instance(joined, ["solver_id"]).groupBy("instance_id").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathework.operators import dedup
@@ -61,3 +61,34 @@ def merged_runs(runs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
         one = run.withColumn("_run", F.lit(number))
         union = one if union is None else union.unionByName(one, allowMissingColumns=True)
     return dedup.last_per(union, keys, ["_run"]).drop("_run")
+
+
+def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """A fixed shuffle: rows in the order of a hash of seed and key."""
+    return df.withColumn("_at", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key)), 256)).orderBy("_at", key).drop("_at")
+
+
+def family(name: Column | str) -> Column:
+    """The base run's name of a retry's name."""
+    base = F.regexp_extract(name, r"^(.+?)-retry(?:-.+)?$", 1)
+    return F.when(base == "", F.col(name) if isinstance(name, str) else name).otherwise(base)
+
+
+def merged_families(rows: DataFrame, run: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of retry families merged: the base run first, then by name, and a later row of a key replaces an earlier one."""
+    base = family(run)
+    named = rows.withColumn("family", base).withColumn("_later", (F.col(run) != base).cast("int"))
+    return dedup.last_per(named, ["family", *keys], ["_later", run]).drop("_later")
+
+
+def complete_families(results: DataFrame, runs: DataFrame, run: str) -> DataFrame:
+    """The results of the families all of whose runs have results."""
+    have = results.select(run).distinct().withColumn("_has", F.lit(True))
+    whole = runs.select(run).distinct().join(have, run, "left").groupBy(family(run).alias("family")).agg(F.count_if(F.col("_has").isNull()).alias("_missing")).filter("_missing = 0")
+    return results.withColumn("family", family(run)).join(whole.select("family"), "family", "left_semi")
+
+
+def events_in_window(log: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """How many events of a key lie in the seconds up to each event, itself included."""
+    w = Window.partitionBy(key).orderBy(F.col(ts).cast("timestamp").cast("double")).rangeBetween(-seconds, Window.currentRow)
+    return log.withColumn("n_window", F.count("*").over(w))

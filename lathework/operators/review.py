@@ -30,3 +30,34 @@ def by_dimension(scored: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     long = scored.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("delta")) for d in dimensions])).alias("x")).select("x.*")
     declared = scored.sparkSession.createDataFrame([(d,) for d in dimensions], "dimension string")
     return declared.join(long.groupBy("dimension").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean_delta")), "dimension", "left").fillna(0, ["n"])
+
+
+# What a judge may call a delta.
+LABEL_DELTAS = {"much_worse": -2, "worse": -1, "same": 0, "better": 1, "much_better": 2}
+
+
+def parsed_deltas(answer: Column, dimensions: Sequence[str]) -> Column:
+    """array<int>, one delta a dimension, out of a judge's JSON answer (bare or fenced); null where the answer, a dimension or a delta is missing or no whole number from -2 to 2.
+
+    A known label overrides the delta.
+    """
+    bare = F.regexp_replace(answer, r"^\s+|\s+$", "")
+    object_ = lambda t: F.when(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.try_parse_json(t))
+    v = F.coalesce(object_(bare), object_(F.regexp_replace(F.regexp_extract(bare, r"(?si)```(?:json)?\s*(.*?)```", 1), r"^\s+|\s+$", "")))
+    items = F.try_variant_get(v, "$.dimensions", "array<variant>")
+
+    def delta(name: str) -> Column:
+        mine = F.try_element_at(F.filter(items, lambda x: F.trim(F.try_variant_get(x, "$.name", "string")) == name), F.lit(-1))
+        label = F.lower(F.trim(F.try_variant_get(mine, "$.label", "string")))
+        told = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_DELTAS.items() for x in kv]), F.coalesce(label, F.lit("")))
+        d = F.coalesce(told, F.try_variant_get(mine, "$.delta", "int"))
+        return F.when(d.between(-2, 2), d)
+
+    found = F.array(*map(delta, dimensions))
+    return F.when(~F.exists(found, lambda d: d.isNull()), found)
+
+
+def from_cache(requests: DataFrame, cache: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Requests with the cached value of their keys and whether it was there; only scored rows are cached."""
+    scored = cache.filter("judge_status = 'scored'").groupBy(*keys).agg(F.max(value).alias(value))
+    return requests.join(scored, list(keys), "left").withColumn("cache_hit", F.col(value).isNotNull())

@@ -60,10 +60,26 @@ def routing_rows(rollup: DataFrame, ranking: DataFrame) -> DataFrame:
 POLICIES = ("cheap", "dear", "failure", "signal")
 
 
-def policy_summary(rows: DataFrame) -> DataFrame:
-    """Four policies side by side: rates, means, 95th percentile of latency and regret against the oracle."""
+def with_learned(rows: DataFrame) -> DataFrame:
+    """The learned policy's columns: the dear solver where its label is predicted, else the cheap one."""
+    dear = F.col("predicted") == "needs_expensive"
+    pick = lambda c: F.when(dear, F.col(f"dear_{c}")).otherwise(F.col(f"cheap_{c}")).alias(f"learned_{c}")
+    return rows.select("*", pick("resolved"), pick("cost"), pick("latency"), dear.alias("learned_escalated"))
+
+
+def evaluation_rows(rows: DataFrame, split: str) -> DataFrame:
+    """The test rows, else the validation rows, else the training rows."""
+    for name in ("test", "validation"):
+        held = rows.filter(F.col(split) == name)
+        if not held.isEmpty():
+            return held
+    return rows
+
+
+def policy_summary(rows: DataFrame, policies: Sequence[str] = ("cheap", "dear", "failure", "signal")) -> DataFrame:
+    """The policies side by side: rates, means, 95th percentile of latency and regret against the oracle."""
     long = rows.select("oracle_cost", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("policy"), F.col(f"{p}_resolved").alias("resolved"), F.col(f"{p}_cost").alias("cost"), F.col(f"{p}_latency").alias("latency"), F.col(f"{p}_escalated").alias("escalated")) for p in POLICIES
+        F.struct(F.lit(p).alias("policy"), F.col(f"{p}_resolved").alias("resolved"), F.col(f"{p}_cost").alias("cost"), F.col(f"{p}_latency").alias("latency"), F.col(f"{p}_escalated").alias("escalated")) for p in policies
     ])).alias("x")).select("oracle_cost", "x.*")
     base = long.groupBy("policy").agg(
         F.count("*").alias("n"), F.count_if("resolved").alias("n_resolved"), F.count_if("escalated").alias("n_escalated"), (F.sum("cost") / F.count("*")).alias("mean_cost"), (F.sum("latency") / F.count("*")).alias("mean_latency"),

@@ -191,7 +191,7 @@ def latest_attempt(spark: SparkSession, sf: str) -> DataFrame:
 @query(needs=("v_runs",), sql="""
  select instance_id, solver_id as model_name_or_path, model_patch from v_runs where length(coalesce(model_patch, '')) > 0 and coalesce(solver_id, '') <> '' and coalesce(instance_id, '') <> ''""")
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return records.predictions(views.runs(spark, sf))
+    return records.predictions(views.runs(spark, sf, "instance_id", "solver_id", "model_patch"))
 
 
 @query(needs=("v_runs",), sql="""
@@ -200,7 +200,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
  select instance_id, model_name_or_path, 'predicted' as status from p semi join d using (instance_id) union all
  select instance_id, null, 'missing_prediction' from d anti join p using (instance_id)""")
 def prediction_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    made = records.predictions(views.runs(spark, sf)).drop("model_patch")
+    made = records.predictions(views.runs(spark, sf, "instance_id", "solver_id", F.left("model_patch", F.lit(1)).alias("model_patch"))).drop("model_patch")  # whether there is one
     return joins.covered_and_missing(made, table(spark, sf, "materialized_items").select("instance_id").dropna().distinct())
 
 
@@ -217,7 +217,7 @@ def solver_backfill(spark: SparkSession, sf: str) -> DataFrame:
  , l as (select job_id, instance_id, solver_id, attempt_state, attempt_index, row_number() over (partition by job_id order by attempt_index desc, attempt_id desc) as rn from v_runs where job_id is not null)
  select job_id, instance_id, solver_id, attempt_state, attempt_index from l where rn = 1""")
 def latest_per_job(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.runs(spark, sf).filter("job_id is not null").select("job_id", "attempt_index", "attempt_id", "instance_id", "solver_id", "attempt_state")
+    rows = views.runs(spark, sf, "job_id", "attempt_index", "instance_id", "solver_id", "attempt_state").filter("job_id is not null").drop("ingested_at")
     return dedup.last_per(rows, ["job_id"], ["attempt_index", "attempt_id"]).select("job_id", "instance_id", "solver_id", "attempt_state", "attempt_index")
 
 
@@ -401,15 +401,21 @@ def task_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql=r"""
- select doc_id, array_to_string(list_distinct_ordered, ',') as refs from (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from (select doc_id, regexp_extract_all(text, '#(\d+)\b', 1) as l from documents where text is not null)) where len(list_distinct_ordered) > 0""")
+ select doc_id, array_to_string(l, ',') as refs from (select doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?:#|GH-)(\d+)', 1))) as l from documents where text is not null) where len(l) > 0""")
 def issue_refs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").filter("text is not null")
-    return docs.select("doc_id", F.array_join(F.array_distinct(F.regexp_extract_all("text", F.lit(r"#(\d+)\b"), 1)), ",").alias("refs")).filter("refs <> ''")
+    return docs.select("doc_id", F.array_join(text.review_refs("text"), ",").alias("refs")).filter("refs <> ''")
 
 
-@query
+_PULLS = r"""list_concat(list_concat(regexp_extract_all(text, '(?i)https?://github\.com/[^/\s]+/[^/\s]+/pull/(\d+)', 1), regexp_extract_all(text, '(?i)\bmerge\s+pull\s+request\s+#?(\d+)\b', 1)), regexp_extract_all(text, '(?i)\b(?:pr|pull request)\s*#?\s*(\d+)\b', 1))"""
+
+
+@query(sql=rf"""
+ with p as (select doc_id, text, list_filter({_PULLS}, lambda x, i: list_position({_PULLS}, x) = i) as pulls from documents where text is not null),
+ i as (select doc_id, pulls, list_concat(regexp_extract_all(text, '(?i)https?://github\.com/[^/\s]+/[^/\s]+/issues/(\d+)', 1), list_filter(regexp_extract_all(' ' || text, '(?i)[^A-Za-z0-9](?:#|gh-)(\d+)\b', 1), lambda x: not list_contains(pulls, x))) as l from p)
+ select doc_id, array_to_string(list_filter(l, lambda x, n: list_position(l, x) = n), ',') as issues, array_to_string(pulls, ',') as pulls from i where len(l) > 0 or len(pulls) > 0""")
 def commit_refs(spark: SparkSession, sf: str) -> DataFrame:
-    """Issue and pull numbers told apart (look-behind has no SQL here)."""
+    """Issue and pull numbers told apart."""
     docs = table(spark, sf, "documents").filter("text is not null")
     return docs.select("doc_id", F.array_join(text.issue_refs("text"), ",").alias("issues"), F.array_join(text.pull_refs("text"), ",").alias("pulls")).filter("issues <> '' or pulls <> ''")
 
@@ -460,26 +466,34 @@ def patch_sides(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(needs=("v_runs",), sql="""
- select attempt_id, greatest(coalesce(try_cast(u ->> 'input_tokens' as bigint), try_cast(u ->> 'prompt_tokens' as bigint), 0), 0) as input, greatest(coalesce(try_cast(u ->> 'output_tokens' as bigint), try_cast(u ->> 'completion_tokens' as bigint), 0), 0) as output
+ select attempt_id, greatest(coalesce(try_cast(u ->> 'input_tokens' as bigint), try_cast(u ->> 'prompt_tokens' as bigint), 0), 0) as input, greatest(coalesce(try_cast(u ->> 'output_tokens' as bigint), try_cast(u ->> 'completion_tokens' as bigint), 0), 0) as output,
+  greatest(coalesce(try_cast(u ->> 'total_tokens' as bigint), greatest(coalesce(try_cast(u ->> 'input_tokens' as bigint), try_cast(u ->> 'prompt_tokens' as bigint), 0), 0) + greatest(coalesce(try_cast(u ->> 'output_tokens' as bigint), try_cast(u ->> 'completion_tokens' as bigint), 0), 0)), 0) as total,
+  greatest(coalesce(try_cast(u ->> 'cached_input_tokens' as bigint), 0), 0) as cached
  from (select attempt_id, case when json_type(j) = 'VARCHAR' then try_cast(j ->> '$' as json) else j end as u from (select attempt_id, try_cast(usage as json) as j from v_runs)) where json_type(u) = 'OBJECT'""")
 def usage_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    v = views.runs(spark, sf).select("attempt_id", usage.parsed("usage").alias("v")).filter("schema_of_variant(v) like 'OBJECT%'")
-    return v.select("attempt_id", usage.tokens(F.col("v")).alias("t")).select("attempt_id", F.col("t.input").alias("input"), F.col("t.output").alias("output"))
+    v = views.runs(spark, sf, "usage").select("attempt_id", usage.parsed("usage").alias("v")).filter("schema_of_variant(v) like 'OBJECT%'")
+    return v.select("attempt_id", usage.tokens(F.col("v")).alias("t")).select("attempt_id", "t.*")
 
 
-@query
+@query(needs=("v_runs",), sql=r"""
+ , l as (select attempt_id, raw_output, list_filter(list_transform(string_split(raw_output, chr(10)), lambda x: try_cast(x as json)), lambda x: x is not null) as e, list_filter(string_split(raw_output, chr(10)), lambda x: trim(x) <> '') as filled from v_runs where raw_output like '{%')
+ select attempt_id, cast(coalesce(list_sum(list_transform(e, lambda x: case when (x ->> 'type') in ('tool_call', 'function_call', 'tool_use') or ((x ->> 'type') = 'item.started' and json_extract_string(x, '$.item.type') in ('command_execution', 'function_call', 'tool_call'))
+   or ((x ->> 'type') = 'response.output_item.added' and json_extract_string(x, '$.item.type') in ('function_call', 'tool_call')) then 1
+   else len(list_filter(coalesce(json_extract_string(x, '$.message.content[*].type'), []), lambda t: t in ('tool_use', 'server_tool_use', 'tool_call', 'function_call'))) end)), 0) as int) as tool_calls,
+  json_extract_string(list_filter(e, lambda x: (x ->> 'type') = 'message')[-1], '$.text') as answer,
+  len(filled) > 0 and len(list_filter(filled, lambda x: coalesce(lower(try_cast(x as json) ->> 'type') = 'error', false))) = len(filled) as error_only from l""")
 def output_events(spark: SparkSession, sf: str) -> DataFrame:
     """Tool calls and the last message of each JSON-lines output."""
-    rows = views.runs(spark, sf).filter("raw_output like '{%'").select("attempt_id", "raw_output")
-    return rows.select("attempt_id", usage.tool_calls("raw_output").alias("tool_calls"), usage.last_message("raw_output").alias("answer"), usage.error_only("raw_output").alias("error_only"))
+    told = (usage.tool_calls("raw_output").alias("tool_calls"), usage.last_message("raw_output").alias("answer"), usage.error_only("raw_output").alias("error_only"))
+    return views.runs(spark, sf, F.col("raw_output").startswith("{").alias("lines"), *told).filter("lines").drop("ingested_at", "lines")
 
 
 @query
 def privacy_scan(spark: SparkSession, sf: str) -> DataFrame:
     """What a shared bundle of attempts would give away, per solver."""
-    runs = views.runs(spark, sf)
-    found = F.array_union(text.privacy_warnings("model_patch"), text.privacy_warnings("raw_output"))
-    return runs.select("solver_id", F.explode(found).alias("warning")).groupBy("solver_id", "warning").agg(F.count("*").alias("n"))
+    fields = ("model_patch", "raw_output", "stderr_output", "usage", "metadata")
+    found = F.array_distinct(F.flatten(F.array(*map(text.privacy_warnings, fields))))
+    return views.runs(spark, sf, "solver_id", found.alias("found")).select("solver_id", F.explode("found").alias("warning")).groupBy("solver_id", "warning").agg(F.count("*").alias("n"))
 
 
 @query(sql="""
@@ -490,13 +504,18 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("instance_id", text.content_hash("repo", "base_commit", "version").alias("hash"))
 
 
-@query
+SHARDS = 64
+
+
+@query(needs=("v_verdicts",), sql="""
+ select solver_id, 'pkg/mod.py::Suite::' || instance_id as test_id, case when resolved then 'pass' when contains(lower(coalesce(harness_outcome, '')), 'error') then 'error' else 'fail' end as outcome from v_verdicts""")
 def junit_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Every verdict written as a JUnit report and parsed back."""
     verdicts = views.verdicts(spark, sf)
     bad = F.when(F.col("resolved"), "").when(F.lower("harness_outcome").contains("error"), "<error/>").otherwise("<failure/>")
     case = F.concat(F.lit('<testcase classname="pkg.mod.Suite" name="'), F.col("instance_id"), F.lit('">'), bad, F.lit("</testcase>"))
-    report = verdicts.groupBy("solver_id").agg(F.concat(F.lit("<testsuite>"), F.array_join(F.array_sort(F.collect_list(case)), ""), F.lit("</testsuite>")).alias("report"))
+    # one report a solver and shard, so that no report grows with the solver's share of the rows
+    report = verdicts.groupBy("solver_id", F.pmod(F.xxhash64("instance_id"), F.lit(SHARDS)).alias("shard")).agg(F.concat(F.lit("<testsuite>"), F.array_join(F.array_sort(F.collect_list(case)), ""), F.lit("</testsuite>")).alias("report"))
     return reports.parsed(report, "solver_id", "report", "junit")
 
 
@@ -507,7 +526,7 @@ def junit_outcomes(spark: SparkSession, sf: str) -> DataFrame:
   case when a and after = 'succeeded' and not coalesce(b and before = 'succeeded', false) then 'fail_to_pass' when a and after = 'succeeded' then 'pass_to_pass' when b and before = 'succeeded' then 'pass_to_fail' else 'fail_to_fail' end as transition from o where a or b""")
 def test_transitions(spark: SparkSession, sf: str) -> DataFrame:
     """First attempts against later ones as two outcome lists over (solver, instance)."""
-    runs = views.runs(spark, sf).filter("solver_id is not null and instance_id is not null")
+    runs = views.runs(spark, sf, "solver_id", "instance_id", "attempt_index", "attempt_state").filter("solver_id is not null and instance_id is not null")
     told = lambda c: F.when(c == "succeeded", "pass").otherwise("fail").alias("outcome")
     keys = ["solver_id", "instance_id"]
     before = runs.filter("attempt_index = 1").groupBy(*keys).agg(told(F.min("attempt_state")))
@@ -580,14 +599,14 @@ def job_sessions(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql=SQL["burn_tumbling"])
 def burn_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same windows out of a file stream driven to its end."""
-    out = jobs.replay(spark, sf, "events.parquet", lambda df: jobs.burn(df), "burn_stream")
+    out = jobs.replay(spark, sf, "events.parquet", jobs.burn, ["starts_at", "status"])
     return out.withColumn("starts_at", F.col("starts_at").cast("timestamp_ntz"))
 
 
-@query
+@query(sql=f"select job_id, round(sum(value), 6) as spent from {_LOG} group by job_id having sum(value) > 1000")
 def budget_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Jobs whose running value passes a limit, with the total kept as state."""
-    return jobs.replay(spark, sf, "events.parquet", lambda df: jobs.over_budget(df, 1_000.0), "budget_stream", mode="append")
+    return jobs.replay(spark, sf, "events.parquet", lambda df: jobs.over_budget(df, 1_000.0), ["job_id"]).withColumn("spent", F.round("spent", 6))
 
 
 # --- nested records as flat tables -------------------------------------------------------

@@ -7,7 +7,7 @@ millionths. ``verdicts``: one row a solver and instance, the evaluation ingested
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.functions import coerce
@@ -36,9 +36,10 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.last_per(raw, ["solver_id", "instance_id"], ["ingested_at", "job_id"]).drop("ingested_at", "job_id")
 
 
-def runs(spark: SparkSession, sf: str) -> DataFrame:
+def runs(spark: SparkSession, sf: str, *columns: str | Column) -> DataFrame:
+    """The attempts' records with ``columns`` beside their id; what is made of long texts is made before the shuffle."""
     raw = table(spark, sf, "attempts").filter("attempt_id is not null")
-    return dedup.last_per(raw, ["attempt_id"], ["ingested_at"])
+    return dedup.last_per(raw.select("attempt_id", "ingested_at", *columns), ["attempt_id"], ["ingested_at"])
 
 
 SQL = {

@@ -61,12 +61,18 @@ def stow(df: DataFrame, name: str = "table") -> DataFrame:
     The table is removed when the session's Python ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the session's Python ends."""
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df``, a settled table, marked for broadcast where it has at most ``rows`` rows; else as it is, and Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

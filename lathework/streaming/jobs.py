@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathework.operators import dedup
+from lathework.runtime import shared_path
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -39,15 +42,27 @@ def over_budget(df: DataFrame, limit: float) -> DataFrame:
         if before <= limit < spent:
             yield pd.DataFrame({"job_id": [key[0]], "spent": [spent]})
 
-    return df.groupBy("job_id").applyInPandasWithState(step, "job_id string, spent double", "spent double", "append", "NoTimeout")
+    return df.groupBy("job_id").applyInPandasWithState(step, "job_id string, spent double", "spent double", "update", "NoTimeout")
+
+
+def final_states(df: DataFrame) -> DataFrame:
+    """The last state of every job, deliveries of one event within the watermark counted once."""
+    once = df.dropDuplicatesWithinWatermark(["event_id"])
+    return once.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "status")).alias("r")).select("job_id", F.col("r.status").alias("status"), F.col("r.event_id").alias("event_id"))
+
+
+def replay(spark: SparkSession, folder: str, files: str, transform: Callable[[DataFrame], DataFrame], keys: Sequence[str], watermark: str = "2 days") -> DataFrame:
+    """Drive the stream of the ``files`` in a folder through ``transform`` to its end, into files of the shared folder.
+
+    Every batch is written under its number (so a batch done again replaces itself), with the
+    offsets and the state beside it; of the updates of one key the last batch's counts.
+    """
+    path = shared_path(spark, "stream")
+    stream = log(spark.readStream.schema(EVENTS).option("pathGlobFilter", files).parquet(folder)).withWatermark("ts", watermark)
 
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-def replay(spark: SparkSession, folder: str, files: str, transform: Callable[[DataFrame], DataFrame], name: str, watermark: str = "365 days", mode: str = "complete") -> DataFrame:
-    """Drive the stream of the ``files`` in a folder through ``transform`` to its end; the result is the memory table ``name``."""
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", files).parquet(folder)
-    q = transform(log(stream).withWatermark("ts", watermark)).writeStream.outputMode(mode).format("memory").queryName(name).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.table(name)
+    q = transform(stream).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    return dedup.last_per(spark.read.parquet(f"{path}/out"), list(keys), ["batch"]).drop("batch")

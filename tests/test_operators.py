@@ -147,13 +147,13 @@ def test_usage(spark):
 
 def test_reports(spark):
     xml = '<testsuite><testcase classname="pkg.mod.Suite" name="a"/><testcase classname="pkg.mod" name="b"><failure/></testcase><testcase name="c"><skipped type="pytest.xfail"/></testcase></testsuite>'
-    assert reports.junit(xml) == {"pkg/mod.py::Suite::a": "pass", "pkg/mod.py::b": "fail", "c": "xfail"} and reports.junit("<broken") == {}
+    assert reports.PARSERS["junit"](xml) == {"pkg/mod.py::Suite::a": "pass", "pkg/mod.py::b": "fail", "c": "skip"} and reports.PARSERS["junit"]("<broken") == {}
     assert reports.cargo("     Running unittests src/lib.rs (target/debug/deps/core-0123456789abcdef)\ntest m::t ... ok\ntest m::u ... FAILED") == {"core::m::t": "pass", "core::m::u": "fail"}
     df = spark.createDataFrame([("r", '{"Action":"run","Package":"p","Test":"T"}\n{"Action":"fail","Package":"p","Test":"T"}\n{"Action":"pass","Package":"p","Test":"T"}\nnoise'), ("n", None)], "id string, out string")
     assert [tuple(r) for r in reports.go_test(df, "id", "out").collect()] == [("r", "p::T", "pass")]
     assert [tuple(r) for r in reports.parsed(spark.createDataFrame([("r", xml), ("n", None)], "id string, out string"), "id", "out", "junit").filter("outcome = 'fail'").collect()] == [("r", "pkg/mod.py::b", "fail")]
     with pytest.raises(ValueError):
-        reports.register("junit")(reports.junit)
+        reports.register("junit")(reports.cargo)
 
 
 def test_job_plan(spark):

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lathework.plans import catalogue
+from lathework.plans import everything as catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
