@@ -17,7 +17,7 @@ def split(c: Column | str) -> Column:
 
 def _bare(line: Column) -> Column:
     """A log line without its time stamp."""
-    return F.regexp_replace(F.trim(line), r"^202\S* .*? - INFO - ", "")
+    return F.regexp_replace(F.trim(line), r"^202.*? - INFO - ", "")
 
 
 def failure_summary(log: Column | str) -> Column:
@@ -81,7 +81,8 @@ def python_versions(c: Column | str) -> Column:
 
 def least_version(versions: Column) -> Column:
     """The least version by its numbers; what has none comes last."""
-    keyed = F.transform(versions, lambda v: F.struct(F.coalesce(F.transform(F.split(v, r"\."), lambda x: x.try_cast("int")), F.array(F.lit(999))).alias("k"), v.alias("v")))
+    numbers = lambda v: F.transform(F.split(v, r"\."), lambda x: x.try_cast("int"))
+    keyed = F.transform(versions, lambda v: F.struct(F.when(F.forall(numbers(v), lambda x: x.isNotNull()), numbers(v)).otherwise(F.array(F.lit(999))).alias("k"), v.alias("v")))
     return F.array_min(keyed)["v"]
 
 

@@ -45,6 +45,13 @@ def paths(diff: Column | str) -> Column:
     return F.filter(F.array_distinct(found), lambda p: ~p.endswith(".rej"))
 
 
+def roles(diff: Column | str) -> Column:
+    """map<role, sorted paths> of a diff's files."""
+    f = files(diff)
+    of = F.array_sort(F.array_distinct(F.transform(f, lambda x: x["role"])))
+    return F.map_from_arrays(of, F.transform(of, lambda r: F.array_sort(F.array_distinct(F.transform(F.filter(f, lambda x: x["role"] == r), lambda x: x["path"])))))
+
+
 def without(diff: Column | str, withheld: Column) -> Column:
     """struct<kept, removed_paths>: the diff without the files of ``withheld``."""
     f = files(diff)
@@ -109,5 +116,5 @@ def targeted_tests(diff: Column | str) -> Column:
 
 def immutable_paths(declared: Column, test_patch: Column | str) -> Column:
     """The declared paths, else those of the test patch."""
-    said = F.filter(F.transform(declared, F.trim), lambda x: x != "")
+    said = F.filter(F.transform(declared, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(declared.isNotNull(), said).otherwise(paths(test_patch))

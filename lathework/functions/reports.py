@@ -84,7 +84,8 @@ PAYLOAD_KEYS = ("junit_xml", "output", "log", "stdout")
 
 def payload(v: Column) -> Column:
     """The report in a payload: the text itself, else under the first of ``PAYLOAD_KEYS``."""
-    return F.coalesce(*[F.try_variant_get(v, p, "string") for p in ("$", *(f"$.{k}" for k in PAYLOAD_KEYS))])
+    bare = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.coalesce(bare, *[F.try_variant_get(v, f"$.{k}", "string") for k in PAYLOAD_KEYS])
 
 
 def merged(outcomes: DataFrame, id_column: str, order: str) -> DataFrame:
@@ -116,11 +117,12 @@ def parsed(df: DataFrame, id_column: str, report: str, style: str) -> DataFrame:
     return df.select(F.col(id_column).cast("string").alias("id"), F.col(report).alias("report")).mapInPandas(parse, f"`{id_column}` string, test_id string, outcome string")
 
 
-def go_test(df: DataFrame, id_column: str, report: str) -> DataFrame:
+def go_test(df: DataFrame, id_column: str | list[str], report: str) -> DataFrame:
     """``go test -json``: the last pass, fail or skip of each test, without Python."""
     line = F.posexplode(F.split(report, "\n"))
-    events = df.select(id_column, line).select(id_column, "pos", F.try_parse_json("col").alias("v"))
+    ids = [id_column] if isinstance(id_column, str) else id_column
+    events = df.select(*ids, line).select(*ids, "pos", F.try_parse_json("col").alias("v"))
     seen = events.select(
-        id_column, "pos", *[F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("Action", "Package", "Test")]
+        *ids, "pos", *[F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("Action", "Package", "Test")]
     ).filter("Test is not null and Action in ('pass', 'fail', 'skip')")
-    return seen.groupBy(id_column, F.concat_ws("::", "Package", "Test").alias("test_id")).agg(F.max_by("Action", "pos").alias("outcome"))
+    return seen.groupBy(*ids, F.concat_ws("::", "Package", "Test").alias("test_id")).agg(F.max_by("Action", "pos").alias("outcome"))

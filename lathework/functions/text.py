@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lathework.functions import roles
 from lathework.functions.coerce import _col, text
 
 # The words that make a statement's signal, strongest first.
@@ -101,34 +102,15 @@ def path_parts(path: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text(path), r"\\", "/")), "/"), lambda p: (p != "") & (p != "."))
 
 
-# Path rules of the roles.
-VENDOR_DIRS = (".beads", "__pycache__", ".mypy_cache", ".pytest_cache", "site-packages", "vendor", ".venv", "venv", "node_modules", "third_party")
-BUILD_DIRS = ("dist", "build", ".eggs")
-TEST_DIRS = ("test", "tests", "__tests__", "spec", "testing")
-FIXTURE_DIRS = ("fixtures", "fixture", "testdata", "mocks", "mock", "resources", "helpers", "support")
-CONFIG_FILES = (".travis.yml", "dockerfile", "docker-compose.yml", "pyproject.toml", "setup.py", "setup.cfg", "tox.ini", "package.json", "go.mod", "cargo.toml", "pom.xml", "build.gradle", "makefile")
-DOC_FILES = ("readme", "readme.md", "readme.rst", "changelog", "changelog.md", "history.md", "license", "license.md")
-SOURCE_ENDINGS = ("py", "js", "jsx", "ts", "tsx", "go", "rs", "java", "kt", "mjs", "cjs")
-TEST_NAME = r"^(test_.*\.py|.*_test\.py|.*_test\.go|.*\.test\.[jt]sx?|.*\.spec\.[jt]sx?|.*test\.java|test.*\.java|.*tests\.rs)$"
+def file_role(path: Column | str, languages: Sequence[str] | None = None) -> Column:
+    """The role of a file by its path alone, first rule that holds."""
+    return roles.file_role(path_parts(path), languages)
 
 
-def file_role(path: Column | str) -> Column:
-    """The role of a file by its path alone, first rule that holds."""
-    parts = path_parts(path)
-    name = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    whole = F.array_join(parts, "/")
-    ending = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    among = lambda a, names: F.arrays_overlap(a, F.array(*map(F.lit, names)))
-    source = ending.isin(*SOURCE_ENDINGS)
-    tested = name.rlike(TEST_NAME)
-    return (
-        F.when(F.size(parts) == 0, "unknown").when(among(parts, VENDOR_DIRS) | among(parts, BUILD_DIRS), "generated_vendor")
-        .when(whole.startswith(".github/") | whole.startswith(".circleci/") | name.isin(*CONFIG_FILES), "config_build")
-        .when(name.isin("conftest.py"), "test_support").when(whole.startswith("docs/") | F.array_contains(folders, "docs") | name.isin(*DOC_FILES), "docs")
-        .when(among(folders, TEST_DIRS), F.when(among(folders, FIXTURE_DIRS), "test_support").when(tested | source, "test").otherwise("test_support"))
-        .when(tested, "test").when(source | F.array_contains(folders, "src"), "prod").otherwise("unknown")
-    )
+def united(a: Column, b: Column) -> Column:
+    """Two maps of lists under one: the values of a key sorted, each once."""
+    some = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    return F.map_zip_with(a, b, lambda k, x, y: F.array_sort(F.array_union(some(x), some(y))))
 
 
 def slug(c: Column | str) -> Column:

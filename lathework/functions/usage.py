@@ -114,7 +114,8 @@ def tool_calls(raw: Column | str) -> Column:
 
 
 def stated_calls(v: Column) -> Column:
-    return F.coalesce(F.greatest(pick(v, CALLS), F.lit(0)), F.size(F.try_variant_get(v, "$.tool_calls", "array<variant>")).cast("bigint"))
+    number, listed = pick(v, CALLS), F.try_variant_get(v, "$.tool_calls", "array<variant>")
+    return F.coalesce(F.when(number.isNotNull(), _least(number)), F.when(listed.isNotNull(), F.size(listed)).cast("bigint"))
 
 
 def record_calls(usage: Column, metadata: Column, raw: Column) -> Column:

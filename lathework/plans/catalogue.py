@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lathework.functions import coerce, patch, reports, text, usage
+from lathework.functions import coerce, patch, reports, roles, text, usage
 from lathework.operators import dedup, frontier, joins, metrics, nested, planning, review, router
 from lathework.plans import views
 from lathework.runtime import settle, table
@@ -426,17 +425,20 @@ def file_role_counts(spark: SparkSession, sf: str) -> DataFrame:
     return files.groupBy("repo").pivot("role", ["prod", "test", "test_support", "docs", "config_build", "generated_vendor", "unknown"]).count().fillna(0)
 
 
-SQL["file_role_counts"] = r"""
+def _list(values: Sequence[str]) -> str:
+    return str(list(values))
+
+
+_RULES = roles.merged()
+SQL["file_role_counts"] = rf"""
  with f as (select distinct file_id, repo, list_filter(string_split(lower(replace(trim(path, E' \t\n\r'), '\', '/')), '/'), lambda p: p <> '' and p <> '.') as parts from file_roles),
- g as (select *, coalesce(parts[-1], '') as name, parts[:-2] as folders, regexp_extract(coalesce(parts[-1], ''), '\.([^.]+)$', 1) as ending from f),
- h as (select repo, case when len(parts) = 0 then 'unknown' when list_has_any(parts, VENDOR) or list_has_any(parts, BUILD) then 'generated_vendor' when list_has_any(parts[1:1], ['.github', '.circleci']) or list_contains(CONFIG, name) then 'config_build'
-   when name = 'conftest.py' then 'test_support' when list_contains(parts[1:1], 'docs') and len(parts) > 1 or list_contains(folders, 'docs') or list_contains(DOCS, name) then 'docs'
-   when list_has_any(folders, TESTS) then case when list_has_any(folders, FIXTURES) then 'test_support' when regexp_matches(name, 'TESTNAME') or list_contains(ENDINGS, ending) then 'test' else 'test_support' end
-   when regexp_matches(name, 'TESTNAME') then 'test' when list_contains(ENDINGS, ending) or list_contains(folders, 'src') then 'prod' else 'unknown' end as role from g)
+ g as (select *, coalesce(parts[-1], '') as name, parts[:-2] as folders, regexp_extract(coalesce(parts[-1], ''), '.\.([^.]+)$', 1) as ending from f),
+ h as (select repo, case when len(parts) = 0 then 'unknown' when list_has_any(parts, {_list(_RULES.vendor)}) or list_has_any(parts, {_list(roles.BUILD_DIRS)}) then 'generated_vendor'
+   when len(parts) > 1 and list_has_any(parts[1:1], {_list(roles.CONFIG_ROOTS)}) or list_contains({_list(_RULES.config)}, name) then 'config_build' when list_contains({_list(_RULES.support)}, name) then 'test_support'
+   when list_contains(parts[1:1], 'docs') and len(parts) > 1 or list_contains(folders, 'docs') and not list_contains({_list(roles.NO_DOCS)}, name) then 'docs' when list_contains({_list(roles.DOC_FILES)}, name) then 'docs'
+   when list_has_any(folders, {_list(_RULES.test_dirs)}) then case when list_has_any(folders, {_list(roles.FIXTURE_DIRS)}) then 'test_support' when regexp_matches(name, '{roles.test_name(_RULES)}') or list_contains({_list(_RULES.endings)}, ending) then 'test' else 'test_support' end
+   when regexp_matches(name, '{roles.test_name(_RULES)}') then 'test' when list_contains({_list(_RULES.endings)}, ending) or list_contains(folders, 'src') then 'prod' else 'unknown' end as role from g)
  select repo, """ + ", ".join(f"count(*) filter (role = '{r}') as {r}" for r in ("prod", "test", "test_support", "docs", "config_build", "generated_vendor", "unknown")) + " from h group by repo"
-for _k, _v in (("VENDOR", text.VENDOR_DIRS), ("BUILD", text.BUILD_DIRS), ("CONFIG", text.CONFIG_FILES), ("DOCS", text.DOC_FILES), ("TESTS", text.TEST_DIRS), ("FIXTURES", text.FIXTURE_DIRS), ("ENDINGS", text.SOURCE_ENDINGS)):
-    SQL["file_role_counts"] = re.sub(rf"\b{_k}\b", str(list(_v)), SQL["file_role_counts"])
-SQL["file_role_counts"] = SQL["file_role_counts"].replace("TESTNAME", text.TEST_NAME)
 
 
 @query(sql=r"""
@@ -488,11 +490,16 @@ def output_events(spark: SparkSession, sf: str) -> DataFrame:
     return views.runs(spark, sf, F.col("raw_output").startswith("{").alias("lines"), *told).filter("lines").drop("ingested_at", "lines")
 
 
-@query
+_FIELDS = ("model_patch", "raw_output", "stderr_output", "usage", "metadata")
+
+
+@query(needs=("v_runs",), sql=" , w as (" + " union ".join(
+    f"select attempt_id, solver_id, '{name}' as warning from v_runs where " + " or ".join(f"regexp_matches(trim(coalesce({f}, ''), E' \t\n\r'), '{pattern}')" for f in _FIELDS)
+    for name, pattern in (("absolute_path", r"(?:^|[^A-Za-z0-9_.-])(?:/[A-Za-z0-9_.-]+){2,}"), ("source_snippet", r"\b(?:def|class|function|import|package|public|private|const|let|var)\s+"))
+) + ") select solver_id, warning, count(*) as n from w group by all")
 def privacy_scan(spark: SparkSession, sf: str) -> DataFrame:
     """What a shared bundle of attempts would give away, per solver."""
-    fields = ("model_patch", "raw_output", "stderr_output", "usage", "metadata")
-    found = F.array_distinct(F.flatten(F.array(*map(text.privacy_warnings, fields))))
+    found = F.array_distinct(F.flatten(F.array(*map(text.privacy_warnings, _FIELDS))))
     return views.runs(spark, sf, "solver_id", found.alias("found")).select("solver_id", F.explode("found").alias("warning")).groupBy("solver_id", "warning").agg(F.count("*").alias("n"))
 
 

@@ -35,7 +35,7 @@ _OBJECTS = """, raw_ as (select *, try_cast(usage as json) as ju, try_cast(metad
 _EVENT = """(case when (x ->> 'type') in ('tool_call', 'function_call', 'tool_use') or ((x ->> 'type') = 'item.started' and json_extract_string(x, '$.item.type') in ('command_execution', 'function_call', 'tool_call'))
    or ((x ->> 'type') = 'response.output_item.added' and json_extract_string(x, '$.item.type') in ('function_call', 'tool_call')) then 1
    else len(list_filter(coalesce(json_extract_string(x, '$.message.content[*].type'), []), lambda t: t in ('tool_use', 'server_tool_use', 'tool_call', 'function_call'))) end)"""
-_CALLS = f"""coalesce(greatest(coalesce(try_cast(stated ->> 'tool_calls' as bigint), try_cast(m ->> 'tool_calls' as bigint)), 0),
+_CALLS = f"""coalesce(case when coalesce(try_cast(stated ->> 'tool_calls' as bigint), try_cast(m ->> 'tool_calls' as bigint)) is not null then greatest(coalesce(try_cast(stated ->> 'tool_calls' as bigint), try_cast(m ->> 'tool_calls' as bigint)), 0) end,
   cast(list_sum(list_transform(list_filter(list_transform(string_split(raw_output, chr(10)), lambda x: try_cast(x as json)), lambda x: x is not null), lambda x: {_EVENT})) as bigint), 0)"""
 
 
@@ -90,7 +90,7 @@ def group_summary_full(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(needs=("v_joined", "v_runs"), sql=_OBJECTS + """,
- g as (select coalesce(t.attempt_state, '') as attempt_state, case when m -> 'schema_version' is null then 'unknown' else coalesce(m ->> 'schema_version', '') end as schema_version, 'unknown' as zone, j.instance_id, j.resolved
+ g as (select coalesce(t.attempt_state, '') as attempt_state, case when (m -> 'schema_version') is null then 'unknown' else coalesce(m ->> 'schema_version', '') end as schema_version, 'unknown' as zone, j.instance_id, j.resolved
   from v_joined j join told t using (attempt_id))
  select attempt_state, schema_version, zone, json_object('attempt_state', attempt_state, 'schema_version', schema_version, 'zone', zone)::varchar as group_json, count(*) as attempt_count,
   count(distinct instance_id) filter (instance_id <> '') as unique_instance_count, count(distinct instance_id) filter (instance_id <> '' and resolved) as resolved_instance_count from g group by 1, 2, 3""")
