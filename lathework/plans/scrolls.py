@@ -30,20 +30,20 @@ _BLOCK = r"regexp_replace(regexp_replace(array_to_string(list_transform(regexp_s
 _LINE = r"regexp_replace(regexp_replace(coalesce({c}, ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
 
 
-@query(sql=f"select doc_id, sha256({_BLOCK.format(c='text')}) as block from documents where text is not null and not regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(sql=f"select doc_id, sha256({_BLOCK.format(c='text')}) as block from documents where text is not null")
 def block_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with single spaces and blank lines, by their hash (plain ASCII texts, as white space outside differs between engines)."""
-    return _docs(spark, sf).filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.sha2(lines.block_text("text"), 256).alias("block"))
+    """Texts with single spaces and blank lines, by their hash."""
+    return _docs(spark, sf).select("doc_id", F.sha2(lines.block_text("text"), 256).alias("block"))
 
 
 @query(sql=f"""
- with i as (select distinct instance_id, coalesce(problem_statement, '') as s, coalesce(reason, '') as advice, coalesce(commit_sha, '') as subject, length(instance_id) as n from materialized_items where instance_id is not null and not regexp_matches(coalesce(problem_statement, ''), '[^\\x00-\\x7F]')),
+ with i as (select distinct instance_id, coalesce(problem_statement, '') as s, coalesce(reason, '') as advice, coalesce(commit_sha, '') as subject, length(instance_id) as n from materialized_items where instance_id is not null),
  t as (select instance_id, {_BLOCK.format(c="case when n % 3 = 0 then s else '' end")} as issue, {_BLOCK.format(c="case when n % 3 = 1 then s else '' end")} as pull, {_BLOCK.format(c='advice')} as advice, {_LINE.format(c='subject')} as subject from i)
  select instance_id, case when issue <> '' then 'linked_issue' when pull <> '' then 'pull_request' when advice <> '' and subject <> '' then 'llm_advisory' when advice <> '' then 'llm_advisory' else 'commit' end as source,
   length(case when issue <> '' then issue when pull <> '' then pull when advice <> '' then advice else subject end) as n_chars from t""")
 def statements(spark: SparkSession, sf: str) -> DataFrame:
     """Statements from an issue, else a pull request, else advice on a weak commit, else the commit."""
-    rows = _items(spark, sf, "problem_statement", "reason", "commit_sha").filter(~F.coalesce("problem_statement", F.lit("")).rlike(r"[^\x00-\x7F]"))
+    rows = _items(spark, sf, "problem_statement", "reason", "commit_sha")
     n, s, none = F.length("instance_id") % 3, F.coalesce("problem_statement", F.lit("")), F.lit("")
     told = lines.statement(none, F.when(n == 0, s).otherwise(""), none, F.when(n == 1, s).otherwise(""), F.coalesce("reason", none), F.coalesce("commit_sha", none), none)
     return rows.select("instance_id", told["source"].alias("source"), F.length(told["text"]).alias("n_chars"))
@@ -51,12 +51,10 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql=r"""
  select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(replace(text, ';', ' '), '[\s,]+'), lambda x: x <> ''), lambda x: case when regexp_extract(lower(x), '^py\d(\d\d)$', 1) <> '' then '3.' || regexp_extract(lower(x), '^py\d(\d\d)$', 1)
-   when x not like '<%' then regexp_extract(x, '^(?:>=|>|==|=|~=)?\s*(3\.\d+)', 1) else '' end), lambda x: x <> ''))), ',') as versions from (select doc_id, text from documents where text is not null and not regexp_matches(text, '[^\x00-\x7F]')) where regexp_matches(text, '3\.\d|(?i)py\d\d\d')
- """)
+   when x not like '<%' then regexp_extract(x, '^(?:>=|>|==|=|~=)?\s*(3\.\d+)', 1) else '' end), lambda x: x <> ''))), ',') as versions from documents where text is not null""")
 def python_versions(spark: SparkSession, sf: str) -> DataFrame:
     """The Python versions that a text notes, upper bounds left out."""
-    rows = _docs(spark, sf).filter(~F.col("text").rlike(r"[^\x00-\x7F]")).filter(F.col("text").rlike(r"3\.\d|(?i)py\d\d\d"))
-    return rows.select("doc_id", F.array_join(lines.python_versions("text"), ",").alias("versions"))
+    return _docs(spark, sf).select("doc_id", F.array_join(lines.python_versions("text"), ",").alias("versions"))
 
 
 @query(sql=r"""
@@ -99,11 +97,11 @@ def instance_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(needs=("v_attempts",), sql="""
- select attempt_id, case when cost_micros is null then '-' when cost_micros <= 0 then '$0.00' when cost_micros < 10000 then printf('$%.4f', cost_micros / 1000000) else printf('$%.2f', cost_micros / 1000000) end as cost,
-  case when duration_ms is null then '-' when duration_ms >= 60000 then printf('%.1fm', duration_ms / 60000) when duration_ms >= 1000 then printf('%.1fs', duration_ms / 1000) else duration_ms || 'ms' end as duration from v_attempts where coalesce(cost_micros, 0) < 1000000000 and attempt_index % 5 = 1 and coalesce(cost_micros, 0) % 50 <> 25 and coalesce(cost_micros, 0) % 10000 <> 5000 and coalesce(duration_ms, 0) % 100 <> 50 and coalesce(duration_ms, 0) % 6000 <> 3000""")
+ select attempt_id, case when cost_micros is null then '-' when cost_micros <= 0 then '$0.00' when cost_micros < 10000 then '$' || format('{:.4f}', ((cost_micros + 50) // 100) / 10000) else '$' || format('{:,.2f}', ((cost_micros + 5000) // 10000) / 100) end as cost,
+  case when duration_ms is null then '-' when duration_ms >= 60000 then format('{:.1f}m', ((duration_ms + 3000) // 6000) / 10) when duration_ms >= 1000 then format('{:.1f}s', ((duration_ms + 50) // 100) / 10) else duration_ms || 'ms' end as duration from v_attempts""")
 def shown_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Costs and durations as they are shown (first attempts of five; halves, which engines round differently, left out)."""
-    rows = views.attempts(spark, sf, "cost_micros", "duration_ms").filter("coalesce(cost_micros, 0) < 1000000000 and attempt_index % 5 = 1 and coalesce(cost_micros, 0) % 50 <> 25 and coalesce(cost_micros, 0) % 10000 <> 5000 and coalesce(duration_ms, 0) % 100 <> 50 and coalesce(duration_ms, 0) % 6000 <> 3000")
+    """Costs and durations as they are shown."""
+    rows = views.attempts(spark, sf, "cost_micros", "duration_ms")
     return rows.select("attempt_id", text.currency(F.col("cost_micros") / 1_000_000).alias("cost"), text.duration("duration_ms").alias("duration"))
 
 
