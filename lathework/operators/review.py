@@ -36,25 +36,22 @@ def by_dimension(scored: DataFrame, dimensions: Sequence[str]) -> DataFrame:
 LABEL_DELTAS = {"much_worse": -2, "worse": -1, "same": 0, "better": 1, "much_better": 2}
 
 
-def parsed_deltas(answer: Column, dimensions: Sequence[str]) -> Column:
-    """array<int>, one delta a dimension, out of a judge's JSON answer (bare or fenced); null where the answer, a dimension or a delta is missing or no whole number from -2 to 2.
+def parsed_deltas(df: DataFrame, answer: str, dimensions: Sequence[str]) -> DataFrame:
+    """Add ``deltas``, one whole number from -2 to 2 a dimension, out of a judge's JSON answer (bare or fenced); null where the answer, a dimension or a delta is missing.
 
-    A known label overrides the delta.
+    A known label overrides the delta. Each step is a column of its own, so nothing is parsed twice.
     """
     bare = F.regexp_replace(answer, r"^\s+|\s+$", "")
-    object_ = lambda t: F.when(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.try_parse_json(t))
-    v = F.coalesce(object_(bare), object_(F.regexp_replace(F.regexp_extract(bare, r"(?si)```(?:json)?\s*(.*?)```", 1), r"^\s+|\s+$", "")))
-    items = F.try_variant_get(v, "$.dimensions", "array<variant>")
-
-    def delta(name: str) -> Column:
-        mine = F.try_element_at(F.filter(items, lambda x: F.trim(F.try_variant_get(x, "$.name", "string")) == name), F.lit(-1))
-        label = F.lower(F.trim(F.try_variant_get(mine, "$.label", "string")))
-        told = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_DELTAS.items() for x in kv]), F.coalesce(label, F.lit("")))
-        d = F.coalesce(told, F.try_variant_get(mine, "$.delta", "int"))
-        return F.when(d.between(-2, 2), d)
-
-    found = F.array(*map(delta, dimensions))
-    return F.when(~F.exists(found, lambda d: d.isNull()), found)
+    fenced = F.regexp_replace(F.regexp_extract("_bare", r"(?si)```(?:json)?\s*(.*?)```", 1), r"^\s+|\s+$", "")
+    read = df.withColumn("_bare", bare).withColumn("_text", F.when(F.col("_bare").startswith("{"), F.col("_bare")).otherwise(fenced)).withColumn("_v", F.try_parse_json("_text"))
+    items = read.withColumn("_items", F.try_variant_get("_v", "$.dimensions", "array<struct<name:string,label:string,delta:string>>"))
+    told = F.create_map(*[F.lit(x) for kv in LABEL_DELTAS.items() for x in kv])
+    each = F.transform("_items", lambda x: F.struct(F.trim(x["name"]).alias("name"), F.coalesce(F.try_element_at(told, F.coalesce(F.lower(F.trim(x["label"])), F.lit(""))), x["delta"].try_cast("int")).alias("delta")))
+    by_name = items.withColumn("_each", each)
+    pick = lambda name: F.try_element_at(F.filter("_each", lambda x: x["name"] == name), F.lit(-1))["delta"]
+    whole = by_name.withColumn("_d", F.array(*map(pick, dimensions)))
+    good = F.forall("_d", lambda d: F.coalesce(d.between(-2, 2), F.lit(False)))
+    return whole.withColumn("deltas", F.when(good, F.col("_d"))).drop("_bare", "_text", "_v", "_items", "_each", "_d")
 
 
 def from_cache(requests: DataFrame, cache: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -316,7 +316,7 @@ def judged_answers(spark: SparkSession, sf: str) -> DataFrame:
     item = lambda n: F.concat(F.lit(f'{{"name": "{n}", "delta": '), F.col(n).cast("string"), F.lit("}"))
     whole = F.concat(F.lit('{"summary": "s", "dimensions": ['), F.concat_ws(", ", *[item(n) if i else F.when(F.col("l_linenumber") % 7 != 0, item(n)) for i, n in enumerate(names)]), F.lit("]}"))
     answer = F.when(F.col("l_orderkey") % 2 == 0, whole).otherwise(F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```")))
-    parsed = rows.select(review.parsed_deltas(answer, names).alias("d"))
+    parsed = review.parsed_deltas(rows.select(answer.alias("answer")), "answer", names).select(F.col("deltas").alias("d"))
     total = F.round(sum((F.col("d")[i] * round(w * 10_000) for i, w in enumerate(DIMENSIONS.values())), F.lit(0)) / 10_000, 6)
     return parsed.groupBy(F.when(F.col("d").isNull(), "error").otherwise(review.delta_label(total)).alias("label")).agg(F.count("*").alias("n"))
 

@@ -137,7 +137,7 @@ def test_report_styles(spark):
 
 def test_judge_answers(spark):
     names = ["x", "y"]
-    read = lambda a: one(spark, review.parsed_deltas(F.lit(a), names))
+    read = lambda a: review.parsed_deltas(spark.createDataFrame([(a,)], "answer string"), "answer", names).first()["deltas"]
     good = json.dumps({"dimensions": [{"name": "y", "delta": 1}, {"name": "x", "delta": 0, "label": " Better "}]})
     assert read(good) == [1, 1] and read("Sure:\n```json\n" + good + "\n```") == [1, 1]
     assert read("no") is None and read(json.dumps({"dimensions": [{"name": "x", "delta": 1}]})) is None and read(json.dumps({"dimensions": [{"name": n, "delta": 3} for n in names]})) is None
