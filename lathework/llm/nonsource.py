@@ -7,8 +7,9 @@ file (one with a third party's notice or in a third-party tree). A file of which
 ``CONTAINED`` stands in one known third-party file is vendored, and so is a file without any
 other mark of which that much stands in files of two other repositories or more. Candidates
 come from the file's rarest hashes, the shares are exact, and the hashes met must be so rare
-together that chance doesn't explain them. A hash of more than ``RARE`` files leads to its
-first and last holder at first, and to every holder where that settles nothing.
+together that chance doesn't explain them. A hash of more than ``RARE`` files leads to two of
+its holders at first; for a file which the pairs so found leave open, be it for want of one
+more repository, every holder follows that could settle it.
 
 Then the rules, for the remaining files: third-party notices and trees, a tool's notice in
 the leading comments, the share of white space and of short identifiers, lines that are data,
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -179,63 +180,66 @@ def scanned(files: DataFrame) -> DataFrame:
     )
 
 
-def _holding(lines: DataFrame, holders: DataFrame) -> DataFrame:
-    """(f, v, low, high): the verified pairs of the files of ``lines`` and the sets of ``holders`` that hold enough of them.
+def _holding(lines: DataFrame, holders: DataFrame, pending: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(f, v, low, high, many): the verified pairs of the files of ``lines`` and the sets of ``holders`` that hold enough of them.
 
     ``lines`` has f, h, n_lines and n, the number of holders of h; any set of more than the
     missing share of a file's hashes holds a shared one, so the rarest such set is looked up.
+    ``pending`` tells from the first pairs which files are still open (f, near, far); all their
+    pairs follow, but those of sets that stand in the repositories near and far alone.
     """
     needed = F.ceil(CONTAINED * F.col("n_lines"))
-    rarest = lines.withColumn("at", F.row_number().over(Window.partitionBy("f").orderBy("n", "h"))).filter(F.col("at") <= F.col("n_lines") - needed + 1).filter("n > 0")
+    rarest = lines.withColumn("needed", needed).withColumn("at", F.row_number().over(Window.partitionBy("f").orderBy("n", "h"))).filter(F.col("at") <= F.col("n_lines") - needed + 1).filter("n > 0")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.filter("f <> v").distinct())
         asked = bounded(settle(pairs.join(lines.select("f", "h", "n_lines"), "f")), SMALL)
-        shared = holders.select("v", "h", "low", "high").join(asked, ["v", "h"]).groupBy("f", "v", "n_lines", "low", "high").agg(F.count("*").alias("shared"))
-        return settle(shared.filter(F.col("shared") >= needed).select("f", "v", "low", "high"))
+        shared = holders.select("v", "h", "low", "high", "many").join(asked, ["v", "h"]).groupBy("f", "v", "n_lines", "low", "high", "many").agg(F.count("*").alias("shared"))
+        return settle(shared.filter(F.col("shared") >= needed).select("f", "v", "low", "high", "many"))
 
-    rare = rarest.filter(F.col("n") <= RARE).select("f", "h")
-    frequent = settle(rarest.filter(F.col("n") > RARE).select("f", "h", "n"))
-    ends = holders.join(bounded(frequent.select("h").distinct(), SMALL), "h").groupBy("h").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    rare = rarest.filter(F.col("n") <= RARE).select("f", "h", "needed")
+    frequent = settle(rarest.filter(F.col("n") > RARE).select("f", "h", "needed", "n"))
+    ends = holders.join(bounded(frequent.select("h").distinct(), SMALL), "h").groupBy("h").agg(F.min(F.struct("low", "v"))["v"].alias("least"), F.max(F.struct("high", "v"))["v"].alias("most"))
     ends = frequent.join(ends, "h").select("f", F.explode(F.array("least", "most")).alias("v"))
-    first = verified(holders.select("h", "v").join(bounded(settle(rare), SMALL), "h").select("f", "v").unionByName(ends))
-    left = settle(frequent.join(first.select("f"), "f", "left_anti").select("f", "h", "n"))
+    first = verified(holders.select("h", "v", "v_lines").join(bounded(settle(rare), SMALL), "h").filter("v_lines >= needed").select("f", "v").unionByName(ends))
+    left = settle(frequent.join(pending(first), "f"))
     if left.isEmpty():
         return first
     keys = F.floor(F.col("n") / SALT)
-    spread = holders.join(left.select("h", "n").distinct(), "h").select("h", "v", F.pmod("v", keys + 1).alias("salt"))
-    every = left.select("f", "h", F.explode(F.sequence(F.lit(0).cast("long"), keys)).alias("salt")).join(spread, ["h", "salt"]).select("f", "v")
-    return first.unionByName(verified(every)).distinct()
+    spread = holders.join(left.select("h", "n").distinct(), "h").select("h", "v", "v_lines", "low", "high", "many", F.pmod("v", keys + 1).alias("salt"))
+    further = F.coalesce(F.col("many") | ~F.col("low").isin(F.col("near"), F.col("far")) | ~F.col("high").isin(F.col("near"), F.col("far")), F.lit(True))
+    every = left.select("f", "h", "needed", "near", "far", F.explode(F.sequence(F.lit(0).cast("long"), keys)).alias("salt")).join(spread, ["h", "salt"])
+    return first.unionByName(verified(every.filter("v_lines >= needed").filter(further).select("f", "v"))).distinct()
 
 
 def by_index(seen: DataFrame) -> DataFrame:
-    """(f) of the sets that the index shows to be a third party's."""
+    """(f, bare) of the sets that the index shows to be a third party's; where ``bare`` holds, only their files without any other mark."""
     filled = seen.filter(F.size("hashes") > 0)
     known = F.coalesce(F.col("rule_kind") == "vendored", F.lit(False))
-    facts = filled.groupBy("f").agg(
-        F.min("file_id").alias("file_id"), F.min("repo_id").alias("low"), F.max("repo_id").alias("high"), F.max(known).alias("known"),
-        F.max(F.col("rule_kind").isNotNull()).alias("told"), F.countDistinct("file_id").alias("n_files"),
+    facts = filled.drop("hashes").repartition("f").groupBy("f").agg(
+        F.min("file_id").alias("file_id"), F.min("repo_id").alias("low"), F.max("repo_id").alias("high"), (F.countDistinct("repo_id") > 2).alias("many"),
+        F.max(known).alias("known"), (F.max(known) & ~F.min(known)).alias("twin"), F.max(F.col("rule_kind").isNull()).alias("bare"), F.countDistinct("file_id").alias("n_files"),
     )
     n_files = max(filled.select("file_id").distinct().count(), BACKGROUND)
     floor = math.log(n_files) + MARGIN
     sets = stow(filled.select("f", "file_id", "hashes").join(facts, ["f", "file_id"]).dropDuplicates(["f", "file_id"]), "sets")
-    postings = sets.select(F.col("f").alias("v"), "known", "told", "low", "high", "n_files", F.size("hashes").alias("n_lines"), F.explode("hashes").alias("h"))
+    postings = sets.select(F.col("f").alias("v"), "known", "bare", "low", "high", "many", "n_files", F.size("hashes").alias("v_lines"), F.explode("hashes").alias("h"))
     stats = postings.groupBy("h").agg(
         F.count("*").alias("n"), F.count_if("known").alias("n_known"), F.sum("n_files").alias("n_files"), F.min("low").alias("low"), F.max("high").alias("high")
     ).filter("n > 1 and n_known > 0 or low <> high")
     met = stow(
-        postings.filter("not known").select(F.col("v").alias("f"), "told", "n_lines", "h")
+        postings.filter("not known").select(F.col("v").alias("f"), "bare", F.col("v_lines").alias("n_lines"), "h")
         .join(stats.withColumn("crossing", F.col("low") != F.col("high")).drop("low", "high"), "h"), "met"
     )
     rarity = F.log(F.lit(float(n_files)) / F.col("n_files"))
     hopeful = settle(
-        met.groupBy("f", "n_lines", "told").agg(
+        met.groupBy("f", "n_lines", "bare").agg(
             F.count_if(F.col("n_known") > 0).alias("met_known"), F.sum(F.when(F.col("n_known") > 0, rarity)).alias("known_rarity"),
             F.count_if("crossing").alias("met_any"), F.sum(F.when(F.col("crossing"), rarity)).alias("any_rarity"),
         )
         .withColumn("needed", F.ceil(CONTAINED * F.col("n_lines")))
         .withColumn("ask_known", (F.col("met_known") >= F.col("needed")) & (F.col("known_rarity") >= floor))
-        .withColumn("ask_any", (F.col("met_any") >= F.col("needed")) & (F.col("any_rarity") >= floor) & ~F.col("told"))
+        .withColumn("ask_any", (F.col("met_any") >= F.col("needed")) & (F.col("any_rarity") >= floor) & F.col("bare"))
         .filter("ask_known or ask_any")
     )
 
@@ -247,13 +251,24 @@ def by_index(seen: DataFrame) -> DataFrame:
         absent = count.filter("n_met < n_lines").select("f", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_lines") - F.col("n_met"))).alias("h"), F.lit(0).cast("long").alias("n"), "n_lines")
         return settle(found.unionByName(absent.withColumn("h", -F.col("h"))))
 
-    theirs = postings.select("v", "h", "low", "high", "known")
-    in_known = _holding(lines("ask_known", "n_known", "n_known > 0"), theirs.filter("known")).select("f").distinct()
+    theirs = postings.select("v", "v_lines", "h", "low", "high", "many", "known")
+    asked = hopeful.filter("ask_known").select("f", F.lit(None).cast("int").alias("near"), F.lit(None).cast("int").alias("far"))
+    in_known = _holding(lines("ask_known", "n_known", "n_known > 0"), theirs.filter("known"), lambda held: asked.join(held, "f", "left_anti"))
+    twins = settle(sets.filter("twin").select("f", F.explode("hashes").alias("h")))  # they stand whole in a known file
+    n_twins = postings.select("h", "n_files").join(bounded(twins.select("h").distinct(), SMALL), "h").groupBy("h").agg(F.sum("n_files").alias("n_files"))
+    in_known = in_known.select("f").unionByName(twins.join(n_twins, "h").groupBy("f").agg(F.sum(rarity).alias("rarity")).filter(F.col("rarity") >= floor).select("f"))
     open_ = bounded(settle(hopeful.filter("ask_any").select("f")), SMALL)
-    held = _holding(lines("ask_any", "n", "crossing"), theirs)
-    repos = filled.select("f", "repo_id").join(open_, "f").unionByName(held.select("f", F.explode(F.array("low", "high")).alias("repo_id"))).distinct()
-    elsewhere = repos.groupBy("f").agg(F.count("*").alias("n_repos")).filter("n_repos >= 3").select("f")  # its own and two more
-    return in_known.unionByName(elsewhere).distinct()
+    own = settle(filled.select("f", "repo_id", F.lit(False).alias("many")).join(open_, "f").distinct())
+
+    def reached(held: DataFrame) -> DataFrame:
+        """(f, near, far, elsewhere): the repositories of a file and its holders; a set of more than two settles it alone, low and high are all of any other."""
+        repos = own.unionByName(held.select("f", F.explode(F.array("low", "high")).alias("repo_id"), "many"))
+        enough = F.max("many") | (F.countDistinct("repo_id") >= 3)  # its own and two more
+        return repos.groupBy("f").agg(F.min("repo_id").alias("near"), F.max("repo_id").alias("far"), enough.alias("elsewhere"))
+
+    held = _holding(lines("ask_any", "n", "crossing"), theirs, lambda held: reached(held).filter("not elsewhere").drop("elsewhere"))
+    elsewhere = reached(held).filter("elsewhere").select("f", F.lit(True).alias("bare"))
+    return in_known.withColumn("bare", F.lit(False)).unionByName(elsewhere).groupBy("f").agg(F.min("bare").alias("bare"))
 
 
 def file_kinds(files: DataFrame) -> DataFrame:
@@ -263,8 +278,8 @@ def file_kinds(files: DataFrame) -> DataFrame:
 
 def _told(files: DataFrame) -> DataFrame:
     seen = stow(scanned(files), "files")
-    copied = by_index(seen).withColumn("copied", F.lit(True))
-    told = seen.drop("hashes").join(copied, "f", "left").withColumn("kind", F.when(F.col("copied"), "vendored").otherwise(F.col("rule_kind"))).filter("kind is not null")
+    copied = F.coalesce(F.when(F.col("bare"), F.col("rule_kind").isNull()).otherwise(~F.col("rule_kind").eqNullSafe("vendored")) & F.col("bare").isNotNull(), F.lit(False))
+    told = seen.drop("hashes").join(by_index(seen), "f", "left").withColumn("copied", copied).withColumn("kind", F.when(F.col("copied"), "vendored").otherwise(F.col("rule_kind"))).filter("kind is not null")
     rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))
     return told.select("file_id", "kind", F.when(F.col("copied"), "index").otherwise("rule").alias("by"), rank.alias("rank"))
 
